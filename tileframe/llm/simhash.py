@@ -145,9 +145,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str
     prints = stored(fingerprints(docs, words, text, key), f"{folder}/prints")
     edges = stored(links(prints, radius), f"{folder}/edges")
     roots = components(edges, f"{folder}/components")
-    placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(key, "fp", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min(key).alias("component_id"))
-    return placed.join(least, "root").select(key, hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    named = stored(with_least(least, roots, "fp", "component_id"), f"{folder}/named")
+    return prints.join(named, "fp").select(key, hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def with_least(least: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """(node, name): for each node of (node, least) the least value in its component. Rows were summed up to nodes
+    before, and what results is a table, so the join with rows that follows can split a node that holds many."""
+    placed = least.join(roots.withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
+    return placed.join(placed.groupBy("root").agg(F.min("least").alias(name)), "root").select(node, name)
 
 
 # --- Near-duplicate groups by word-shingle similarity ------------------------------------------
@@ -275,9 +282,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     sides = left.join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     edges = stored(sides.mapInArrow(verify, "a long, b long"), f"{folder}/edges")
     roots = components(edges, f"{folder}/components")
-    placed = sketches.select("id", "same").join(roots.withColumnRenamed("node", "same"), "same", "left").select("id", F.coalesce("root", "same").alias("root"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("group"))
-    return placed.join(least, "root", "left").select(F.col("id").alias(key), F.coalesce("group", "id").alias("group"))
+    least = sketches.where("same is not null").groupBy("same").agg(F.min("id").alias("least"))
+    named = stored(with_least(least, roots, "same", "group"), f"{folder}/named")
+    return sketches.select("id", "same").join(named, "same", "left").select(F.col("id").alias(key), F.coalesce("group", "id").alias("group"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
