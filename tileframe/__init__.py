@@ -1,0 +1 @@
+"""Paired before/after rasters and the damage assessments made from them, as Spark DataFrame operations."""
