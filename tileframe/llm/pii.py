@@ -36,7 +36,7 @@ PATTERN = re.compile(
     r"|(?P<phone>(?:\+1[\x20.-]?)?\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|\+1[\x20.-]?[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
+    r"|(?P<ip>(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
     r"|(?P<card>[0-9](?:[\x20-]?[0-9]){12,18})"
     r")(?![A-Za-z0-9])"
 )
@@ -159,8 +159,8 @@ def replaced(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[st
         kind, lo, hi = m.lastgroup, m.start(), m.end()
         new = pseudonym(kind, m[0], key, back)
         if new is None:
-            # What fails as one kind may hold another: look again behind its first run.
-            look = lo + (re.match("[A-Za-z0-9]+", m[0]) or m).end() - (0 if re.match("[A-Za-z0-9]+", m[0]) else lo)
+            # What fails as one kind may hold another: look again behind its first run of letters and digits.
+            look = lo + max(1, len(re.match("[A-Za-z0-9]*", m[0])[0]))
             continue
         out += [text[at:lo], new]
         spans.append((kind, lo, hi))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, fresh, hex64, shared_dir, stored, words_of
+from .common import WORD, bounded_batches, components, hex64, shared_dir, stored, words_of
 
 SEED = 42
 GROUPS_THAT_AGREE = 3
@@ -288,17 +288,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key isn't the least of its group; of rows with equal keys in a group one stays.
-    Rows with a null key or a null or empty text all stay."""
+    """docs without the rows whose key isn't the least of its group; of rows that repeat both key and text one stays.
+    Rows with a null key or without a word all stay."""
     folder = shared_dir(docs.sparkSession)
-    groups = similar_groups(docs, words, similarity, text, key)
-    gone, turn = fresh(docs, "gone", "turn")
-    drop = stored(groups.where(F.col("group") < F.col(key)).select(key).distinct().withColumn(gone, F.lit(True)), f"{folder}/drop")
-    kept = docs.join(drop, docs[key].cast("long") == drop[key], "left_anti")
-    # Rows that repeat a key: one stays. Only such keys are numbered, as every row with a text has its own otherwise.
-    again = stored(groups.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), f"{folder}/again")
+    groups = stored(similar_groups(docs, words, similarity, text, key), f"{folder}/groups")
+    of = docs[key].cast("long")
+    drop = groups.where(F.col("group") < F.col(key)).select(F.col(key).alias("gone")).distinct()
+    again = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("twice")).count().where("count > 1").select("twice")
+    kept = docs.join(stored(drop, f"{folder}/drop"), of == F.col("gone"), "left_anti")
+    again = stored(again, f"{folder}/again")
     if again.isEmpty():
         return kept
-    sole = kept.join(again, kept[key].cast("long") == again[key], "left_anti")
-    rest = kept.join(again, kept[key].cast("long") == again[key], "left_semi")
-    return sole.unionByName(rest.dropDuplicates([key, text]))
+    rest = kept.join(again, of == F.col("twice"), "left_semi")
+    worded = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
+    return kept.join(again, of == F.col("twice"), "left_anti").unionByName(rest.where(~worded)).unionByName(rest.where(worded).dropDuplicates([key, text]))

@@ -42,8 +42,13 @@ def number(x: Column) -> Column:
     return F.xxhash64(x).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
+def all_signatures(text: Column) -> Column:
+    """The signatures, or if there are none, those of single words or of the whole text. The one-element array lets
+    the signatures be made once and named."""
+    return F.element_at(F.transform(F.array(signatures(text)), lambda signs: filled(text, signs)), 1)
+
+
 def filled(text: Column, signs: Column) -> Column:
-    """signs, or if there are none, those of single words or of the whole text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     single = F.array_sort(F.array_distinct(F.transform(words, number)))
     return F.when(F.size(signs) > 0, signs).when(F.size(words) > 0, single).otherwise(F.array(number(text)))
@@ -65,9 +70,10 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
     return F.when(near, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
 
 
-def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFrame:
-    """rows with a column next_<c> for each carried one: its value in the row that follows by (key, tie), the first
-    for the last. Rows are dealt to ranges of the key; each range also gets the first row of the range behind it."""
+def with_next(rows: DataFrame, key: str, tie: str, more: dict[str, Column], carried: list[str]) -> DataFrame:
+    """rows with the columns `more`, and a column next_<c> for each carried one: its value in the row that follows by
+    (key, tie), the first for the last. Rows are dealt to ranges of the key; each range also gets the first row of the
+    range behind it. The columns `more` are made after that, so for lent rows and not for all rows once again."""
     n = rows.count()
     cuts = min(MOST_BUCKETS, max(1, n // ROWS_A_BUCKET))
     edges = (rows.agg(F.percentile_approx(key, [i / cuts for i in range(1, cuts)], 10 * cuts)).first()[0] or []) if cuts > 1 else []
@@ -81,7 +87,7 @@ def with_next(rows: DataFrame, key: str, tie: str, carried: list[str]) -> DataFr
     lent = dealt.join(lenders, F.col(key).eqNullSafe(F.col("lend_key")) & (F.col(tie) == F.col("lend_tie")))
     lent = lent.withColumn("bucket", F.col("to_bucket")).withColumn("lent", F.lit(1)).select(dealt.columns)
     order = Window.partitionBy("bucket").orderBy("lent", F.col(key).asc_nulls_first(), tie)
-    return dealt.union(lent).withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("lent = 0").drop("bucket", "lent")
+    return dealt.union(lent).withColumns(more).withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("lent = 0").drop("bucket", "lent")
 
 
 def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", floor: float = FLOOR) -> DataFrame:
@@ -89,12 +95,11 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", fl
     the next document), and how like its own the latter and the next document's are."""
     rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("tie", F.xxhash64("body"))
-    rows = rows.withColumn("some", signatures(F.col("body"))).withColumn("signs", filled(F.col("body"), F.col("some"))).drop("some")
-    pairs = with_next(rows, key, "tie", ["body", "signs"])
+    pairs = with_next(rows, key, "tie", {"signs": all_signatures(F.col("body"))}, ["body", "signs"])
     n = F.length("body")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), n - half), F.substring(F.col("next_body"), F.lit(1), half)))
-    pairs = pairs.withColumn("some", signatures(F.col("edited"))).withColumn("edited_signs", filled(F.col("edited"), F.col("some")))
+    pairs = pairs.withColumn("edited_signs", all_signatures(F.col("edited")))
     return pairs.select(
         key,
         "n_chars",

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +28,7 @@ STRONG = "casino pills spam porn xxx viagra poker jackpot gambling malware phish
 WEAK = "cheap free win bets bet ads ad track farm bonus loan loans lottery prize click sex adult dating replica promo slots betting crypto deals".split()
 ORDINARY = "example blog www news home shop book books world wiki open data home school science music film art city sport travel health food house garden photo video game page mail forum web site online the of and to in for on is it".split()
 VOCABULARY = 50_000
+LEXICON = 20
 LONGEST = 24
 
 
@@ -56,7 +57,7 @@ def pieces(host: str, path: str) -> list[str]:
 class Segmenter:
     """Unigram Viterbi: the split of a name whose words are most probable together."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, float]):
         self.logs = {w: math.log10(n) for w, n in counts.items()}
         self.total = math.log10(sum(counts.values()) + 1)
         self.split = lru_cache(200_000)(self._split)
@@ -82,11 +83,14 @@ def marked(words: list[str]) -> bool:
     return any(w in STRONG for w in words) or sum(w in WEAK for w in set(words)) >= 2
 
 
-def counted(rows: DataFrame, fold: object, names: list[str]) -> dict[tuple, int]:
-    """The most frequent keys that fold gives for (host, path), with their counts over all rows."""
+def counted(rows: DataFrame, make: Callable[[], Callable[[str, str], Iterable[tuple]]], names: list[str]) -> dict[tuple, int]:
+    """The most frequent keys that a fold gives for (host, path), with their counts over all rows. make() gives a task its fold."""
+
+    def out(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.string()) for i in range(len(names))), pa.array(list(seen.values()), pa.int64())], [*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        fold, seen = make(), Counter()
         for b in batches:
             for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.update(fold(h, p))
@@ -95,37 +99,44 @@ def counted(rows: DataFrame, fold: object, names: list[str]) -> dict[tuple, int]
                 seen = Counter()
         yield out(seen)
 
-    def out(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.string()) for i in range(len(names))), pa.array(list(seen.values()), pa.int64())], [*names, "n"])
-
     sums = rows.select("host", "path").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
     return {tuple(r[:-1]): r[-1] for r in sums.orderBy(F.desc("n"), *names).limit(VOCABULARY).collect()}
 
 
+def unigrams(pieces: dict[str, int]) -> dict[str, float]:
+    """Word weights: a piece weighs a tenth of its count's root, so that parts of it can still win; each word of the
+    lexicon at least a two-hundredth of all, so that it is found in concatenations however many pieces there are."""
+    out = {w: math.sqrt(n) / 10 for w, n in pieces.items()}
+    known = max(50.0, sum(out.values()) / 200)
+    return out | {w: out.get(w, 0.0) + known for w in STRONG + WEAK + ORDINARY}
+
+
 def judged(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tuple = RULES) -> DataFrame:
     """key, host, path, rule, verdict, words (as segmented) and score (log odds of block) of each row."""
     sc = pages.sparkSession.sparkContext
     host, path = parts(F.col(url).cast("string"))
     rows = pages.select(F.col(key).cast("long").alias(key), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
 
-    lexicon = {w: 50 for w in STRONG + WEAK + ORDINARY}
-    names = counted(rows, lambda h, p: ((x,) for x in pieces(h, p)), ["piece"])
-    # A piece counts as a word of its own as often as its square root, so that parts of it can still win.
-    unigrams = sc.broadcast(lexicon | {w: lexicon.get(w, 0) + math.isqrt(n) for (w,), n in names.items()})
+    def pieces_of() -> Callable[[str, str], Iterable[tuple]]:
+        return lambda h, p: ((x,) for x in pieces(h, p))
 
-    def labelled(h: str, p: str) -> Iterator[tuple[str, str]]:
-        nonlocal_split = segmenter(unigrams)
-        words = [w for x in pieces(h, p) for w in nonlocal_split(x)]
-        label = "block" if marked(words) else "allow"
-        yield label, ""
-        for w in words:
-            yield label, w
+    weights = sc.broadcast(unigrams({w: n for (w,), n in counted(rows, pieces_of, ["piece"]).items()}))
+
+    def labelled() -> Callable[[str, str], Iterable[tuple]]:
+        split = Segmenter(weights.value).split
+
+        def fold(h: str, p: str) -> Iterator[tuple[str, str]]:
+            words = [w for x in pieces(h, p) for w in split(x)]
+            label = "block" if marked(words) else "allow"
+            yield label, ""
+            yield from ((label, w) for w in words)
+
+        return fold
 
-    by_label = counted(rows, labelled, ["label", "word"])
-    model = sc.broadcast(by_label)
+    model = sc.broadcast(counted(rows, labelled, ["label", "word"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, score = segmenter(unigrams), bayes(model.value)
+        split, score = Segmenter(weights.value).split, bayes(model.value)
         for b in batches:
             words = [[w for x in pieces(h, p) for w in split(x)] for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([" ".join(w) for w in words], pa.string()), pa.array([score(w) for w in words], pa.float64())], [key, "host", "path", "words", "score"])
@@ -135,17 +146,12 @@ def judged(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tupl
     return scored.select(key, "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")
 
 
-_segmenters: dict[int, object] = {}
-
-
-def segmenter(unigrams: object):
-    if unigrams.id not in _segmenters if hasattr(unigrams, "id") else True:
-        _segmenters[getattr(unigrams, "id", 0)] = Segmenter(unigrams.value).split
-    return _segmenters[getattr(unigrams, "id", 0)]
-
-
-def bayes(counts: dict[tuple[str, str], int]):
-    """A function from words to the log odds of block against allow, with Laplace smoothing."""
+def bayes(counts: dict[tuple[str, str], int]) -> Callable[[list[str]], float]:
+    """A function from words to the log odds of block against allow, with Laplace smoothing. The lexicon counts as
+    LEXICON more occurrences of each of its words, so that few pages suffice."""
+    counts = Counter(counts)
+    for label, own in (("block", STRONG + WEAK), ("allow", ORDINARY)):
+        counts.update({(label, w): LEXICON for w in own})
     pages = {k: counts.get((k, ""), 0) for k in ("allow", "block")}
     total = {k: sum(n for (label, w), n in counts.items() if label == k and w) for k in pages}
     size = len({w for _, w in counts}) + 1
