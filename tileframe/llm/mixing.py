@@ -24,7 +24,7 @@ SOURCES = {f"src{i}": 0.049 for i in range(20)} | {OTHER: 0.02}
 LANGS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.12, OTHER: 0.02}
 TOPICS = {"licensed": 0.05, "brief": 0.2, "article": 0.5, "longform": 0.25}
 KEEP = 0.7
-ROUNDS, CLOSE = 60, 1e-9
+ROUNDS, CLOSE, SCALINGS = 100, 1e-12, 40
 
 
 def topic_of(text: Column, n_tokens: Column) -> Column:
@@ -99,9 +99,9 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None
 
     weights = cells.withColumn("w", product(("source", "lang", "topic")))
     total, scale = float(weights.agg(F.sum("tokens")).first()[0] or 0), keep
-    for _ in range(30):  # the tokens of cells whose probability would exceed 1 are made up for by the others
+    for _ in range(SCALINGS):  # the tokens of cells whose probability would exceed 1 are made up for by the others
         got = weights.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(scale) * F.col("w")))).first()[0] or 0.0
-        if not got or abs(got - keep * total) <= 1e-9 * total or scale > 1e9:
+        if not got or abs(got - keep * total) <= 1e-13 * total or scale > 1e9:
             break
         scale *= keep * total / got
     out = rows.withColumn(wgt, product((src, lng, top)))

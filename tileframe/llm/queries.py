@@ -29,7 +29,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, names = mixing.weighted(table(spark, sf_dir, "documents"), also=["doc_id"])
-    return out.select("doc_id", *(F.col(n).alias(n.lstrip("_").removeprefix("mix_")) for n in names))
+    out = out.select("doc_id", *(F.col(n).alias(n.lstrip("_").removeprefix("mix_")) for n in names))
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
