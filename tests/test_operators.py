@@ -366,3 +366,85 @@ def test_all_products_of_padding(spark):
     for n, i in itertools.product((3, 5), range(-2, 7)):
         got = spark.range(1).select(scalar.reflect(F.lit(i), n)).first()[0]
         assert got == (-i if i < 0 else 2 * (n - 1) - i if i >= n else i)
+
+
+def test_png_round_trip_and_filters(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tileframe.sources import png
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 4):
+        a = rng.integers(0, 256, (5, 7, n), np.uint8)
+        assert (png.decode(png.encode(a)) == a).all()
+    a = rng.integers(0, 256, (6, 4, 3), np.uint8)
+    flat = a.reshape(6, 12).astype(int)
+    lines = []
+    for y in range(6):  # every filter, made by the formulas
+        up, row, kind = (flat[y - 1] if y else flat[y] * 0), flat[y], y % 5
+        left = np.r_[np.zeros(3, int), row[:-3]]
+        corner = np.r_[np.zeros(3, int), up[:-3]]
+        p = left + up - corner
+        paeth = [min((abs(q - i), 0, i), (abs(q - j), 1, j), (abs(q - k), 2, k))[2] for q, i, j, k in zip(p, left, up, corner, strict=True)]
+        guess = (0 * row, left, up, (left + up) // 2, np.array(paeth))[kind]
+        lines.append(bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+    whole = png.encode(a)
+    at = whole.index(b"IDAT") - 4
+    size = struct.unpack(">I", whole[at : at + 4])[0]
+    body = zlib.compress(b"".join(lines))
+    forged = whole[:at] + struct.pack(">I", len(body)) + b"IDAT" + body + struct.pack(">I", zlib.crc32(b"IDAT" + body)) + whole[at + 12 + size :]
+    assert (png.decode(forged) == a).all()
+    (tmp_path / "a.png").write_bytes(forged)
+    got = {(r.band, r.y, r.x): r.v for r in png.read_png(spark, str(tmp_path)).collect()}
+    assert got == {(k, y, x): int(a[y, x, k]) for k in range(3) for y in range(6) for x in range(4)}
+    t = spark.createDataFrame([(0, 1, list(range(16)))], "ty int, tx int, values array<int>")
+    assert png.decode(png.tiles_as_png(t, 4).first().png).ravel().tolist() == list(range(16))
+    with pytest.raises(ValueError):
+        png.decode(b"no")
+
+
+def test_filled_holes(spark):
+    closed, open_ = ["#####", "#...#", "#.#.#", "#...#", "#####"], ["#####", "#...#", "#.#.#", "#...#", "###.#"]
+    assert picture_of(masks.filled(mask_of(spark, closed), 5, 5), 5, 5) == ["#####"] * 5
+    assert picture_of(masks.filled(mask_of(spark, open_), 5, 5), 5, 5) == open_
+
+
+def test_ring_predicates(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    square = ring((0, 0), (4, 0), (4, 4), (0, 4))
+    cases = [(ring((1, 1), (2, 1), (2, 2)), True), (ring((3, 3), (6, 3), (6, 6)), True), (ring((5, 5), (6, 5), (6, 6)), False), (ring((4, 0), (8, 0), (8, 4)), True), (ring((-9, -9), (20, -9), (20, 20), (-9, 20)), True), (ring((5, -1), (9, 3), (9, -1)), False)]
+    t = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(i, square, r) for i, (r, _) in enumerate(cases)], f"i int, a {t}, b {t}")
+    for r in df.select("i", geo.rings_intersect(F.col("a"), F.col("b")).alias("m"), geo.rings_intersect(F.col("b"), F.col("a")).alias("n")).collect():
+        assert r.m == r.n == cases[r.i][1], r.i
+
+
+def test_mercator_round_trip(spark):
+    df = spark.createDataFrame([(-170.0, -80.0), (0.0, 0.0), (12.5, 47.25)], "lon double, lat double")
+    x, y = geo.from_lonlat(F.col("lon"), F.col("lat"))
+    df = df.withColumns({"x": x, "y": y})
+    lon, lat = geo.to_lonlat(F.col("x"), F.col("y"))
+    for r in df.select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
+        assert abs(r.lon - r.a) < 1e-9 and abs(r.lat - r.b) < 1e-9
+
+
+def test_sql_names(spark, sf):
+    from tileframe.plans.sql import register
+
+    register(spark, sf)
+    assert spark.sql("SELECT count(*) FROM tile_origins(200, 160, 64, 8)").first()[0] == 12
+    assert spark.sql("SELECT max(damage_class) FROM buildings JOIN damage_classes USING (damage_class)").first()[0] == 4
+
+
+def test_a_run_can_be_cancelled(spark):
+    import time
+
+    from tileframe.streaming.control import Cancelled, cancellable
+
+    assert cancellable(spark, lambda: spark.range(5).count(), lambda: False) == 5
+    began = time.time()
+    slow = lambda: spark.range(400).repartition(400).mapInPandas(lambda it: (time.sleep(1) or f for f in it), "id long").count()
+    with pytest.raises(Cancelled):
+        cancellable(spark, slow, lambda: time.time() - began > 3)
+    assert time.time() - began < 60

@@ -95,6 +95,25 @@ def clipped(spark: SparkSession, sf_dir: str, aoi: DataFrame) -> DataFrame:
     return vectors.aoi_filter(boxes, aoi).groupBy("l_orderkey").agg(F.count("*").alias("buildings"), F.round(F.sum("area"), 2).alias("area"))
 
 
+@query("SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE (l_partkey % 100) >= 10 AND (l_suppkey % 60) >= 5 AND (l_partkey % 100) + 2 * (l_suppkey % 60) <= 100 GROUP BY ALL")
+def aoi_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings of no extent against a triangle: bounding boxes first, then the polygons themselves."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    li = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    x, y = F.col("l_partkey") % 100, F.col("l_suppkey") % 60
+    boxes = li.select("*", x.cast("double").alias("xmin"), y.cast("double").alias("ymin"), x.cast("double").alias("xmax"), y.cast("double").alias("ymax"), F.array(point(x, y)).alias("ring"))
+    corner = lambda a, b: point(F.lit(a), F.lit(b))
+    area = spark.range(1).select(F.lit(10.0).alias("xmin"), F.lit(5.0).alias("ymin"), F.lit(90.0).alias("xmax"), F.lit(45.0).alias("ymax"), F.array(corner(10, 5), corner(90, 5), corner(10, 45)).alias("aoi_ring"))
+    return vectors.aoi_filter(boxes, area, exact=geo.rings_intersect(F.col("ring"), F.col("aoi_ring"))).select("l_orderkey", "l_partkey", "l_suppkey", "n")
+
+
+@query("SELECT n_nationkey AS request_id, round(n_nationkey * 1e6 / 20037508.343 * 180, 6) AS lon, round(degrees(atan(sinh(n_nationkey * 4e5 / 20037508.343 * pi()))), 6) AS lat FROM nation")
+def map_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map's centre in degrees."""
+    lon, lat = geo.to_lonlat(F.col("n_nationkey") * F.lit(1e6), F.col("n_nationkey") * F.lit(4e5))
+    return fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("request_id"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 REQUESTS = """req AS (SELECT n_nationkey AS request_id, 17 AS zoom, (n_nationkey * 6 - 72)::DOUBLE AS lat, (n_nationkey * 14 - 170)::DOUBLE AS lon, 256 + (n_nationkey % 4) * 256 AS width, 512 + (n_nationkey % 3) * 128 AS height FROM nation),
  st AS (SELECT *, trunc((lon + 180) / 360 * 131072)::INT AS cx, trunc((1 - asinh(tan(radians(lat))) / pi()) / 2 * 131072)::INT AS cy, greatest(1, (width + 255) // 256) AS nx, greatest(1, (height + 255) // 256) AS ny FROM req),
  w AS (SELECT *, cx - nx // 2 AS x0, cy - ny // 2 AS y0 FROM st)"""

@@ -118,6 +118,25 @@ def region_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big.groupBy("label").agg(F.count("*").alias("pixels"), F.round(F.avg("v"), 6).alias("mean_conf"))
 
 
+HOLES = f"""{SCENE}, b AS (SELECT y, x, y::BIGINT * 2147483648 + x AS id FROM scene WHERE v <= -0.15),
+ e AS (SELECT a.id AS a, c.id AS b FROM b a JOIN b c ON c.y = a.y AND c.x = a.x + 1 UNION ALL SELECT a.id, c.id FROM b a JOIN b c ON c.x = a.x AND c.y = a.y + 1), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ o(id) AS (SELECT id FROM b, size WHERE y = 0 OR x = 0 OR y = h - 1 OR x = w - 1 UNION SELECT s.b FROM o JOIN s ON s.a = o.id)"""
+
+
+@query(f"WITH RECURSIVE {HOLES} SELECT y, x FROM scene WHERE y::BIGINT * 2147483648 + x NOT IN (SELECT id FROM o)")
+def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask with its holes, as an outer contour covers them."""
+    return masks.filled(dense(spark, sf_dir), *scene_size(fx.scene(spark, sf_dir)))
+
+
+@query(f"WITH {SCENE}, t AS (SELECT y, x, (v * 1000)::INT % 3 AS target FROM scene), k AS (SELECT y, x, target FROM t WHERE target BETWEEN 1 AND 2 AND (y * 7 + x * 13) % 5 = 0) SELECT k.y, k.x, target, round(v, 6) AS v FROM k JOIN scene s ON s.y = k.y AND s.x = k.x")
+def gather_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at a list of places with a class in range."""
+    s = fx.scene(spark, sf_dir)
+    places = s.select("y", "x", (F.bround(F.col("v") * 1000).cast("int") % 3).alias("target")).where(F.col("target").between(1, 2) & ((F.col("y") * 7 + F.col("x") * 13) % 5 == 0))
+    return places.join(s, ["y", "x"]).select("y", "x", "target", F.round("v", 6).alias("v"))
+
+
 @query()
 def watershed_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances of the smoothed scene; priority floods have no SQL."""

@@ -109,6 +109,22 @@ def provenance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.provenance(stats.assess(b), {"layer": "damage", "tile": "512", "overlap": "64"})
 
 
+@query()
+def performance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage profile as one document; its stages are few."""
+    p = stats.stage_profile(fx.stage_events(spark, sf_dir))
+    row = F.struct(*(c for c in p.columns if c != "stage"))
+    return p.agg(F.sort_array(F.collect_list(F.struct("stage", row.alias("s")))).alias("l")).select(F.to_json(F.struct(F.map_from_entries("l").alias("stages"))).alias("document"))
+
+
+@query("SELECT page_id, '<!DOCTYPE html>' || chr(10) || '<html><head><title>' || url || '</title></head><body>' || chr(10) || '<p>Pages of this address: ' || count(*) OVER (PARTITION BY url) || '</p></body></html>' AS report FROM pages")
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    p = fx.table(spark, sf_dir, "pages").select("page_id", "url", F.count("*").over(Window.partitionBy("url")).alias("n"))
+    return p.select("page_id", F.concat(F.lit("<!DOCTYPE html>\n<html><head><title>"), "url", F.lit("</title></head><body>\n<p>Pages of this address: "), F.col("n").cast("string"), F.lit("</p></body></html>")).alias("report"))
+
+
 @query()
 def mask_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.scene(spark, sf_dir).select("y", "x", F.when(F.col("v") > 0.2, 4).when(F.col("v") > 0.15, 2).otherwise(0).alias("damage_class"))
