@@ -1 +1,10 @@
-"""Paired before/after rasters and the damage assessments made from them, as Spark DataFrame operations."""
+"""Paired before/after rasters and the damage assessments made from them, as Spark DataFrame operations.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
