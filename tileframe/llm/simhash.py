@@ -14,7 +14,7 @@ component's id is the least id that is not null. Repeated rows stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +223,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string"))
     sketches = stored(rows.mapInArrow(sketch, "id long, same long, fp long, sign binary"), f"{folder}/sketches")
-    kinds = sketches.where("same is not null").groupBy("same").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign"))
+    kinds = stored(sketches.where("same is not null").groupBy("same").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign")), f"{folder}/kinds")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,10 +231,27 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
                 continue
             fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             full = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, ROWS * BANDS)
-            short = pa.array([x.tobytes() for x in full.astype(np.uint8)], pa.binary())
             bands = [np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for x in full[:, k * ROWS : (k + 1) * ROWS]], np.uint64).view(np.int64) for k in range(BANDS)]
             for cell in [*bands, *cells_of(fp, 3)]:
-                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), short], ["cell", "same", "sign"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0)], ["cell", "same"])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of sorted cells that aren't alone in theirs; the last row waits for the next batch."""
+        cell, same, before = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for last, x in chain(((False, x) for x in batches), [(True, None)]):
+            if x is not None:
+                cell = np.concatenate([cell, x.column(0).to_numpy(zero_copy_only=False)])
+                same = np.concatenate([same, x.column(1).to_numpy(zero_copy_only=False)])
+            if not len(cell):
+                continue
+            like = cell[1:] == cell[:-1]
+            crowd = np.r_[before == cell[0], like] | np.r_[like, False]
+            upto = len(cell) if last else len(cell) - 1
+            keep = np.flatnonzero(crowd[:upto])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(same[keep])], ["cell", "same"])
+            if upto:
+                before = int(cell[upto - 1])
+            cell, same = cell[upto:], same[upto:]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
@@ -246,7 +263,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
             a, b = [], []
             for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
                 own = full[lo:hi]
-                sign = np.frombuffer(b"".join(x[2] for x in own), np.uint8).reshape(len(own), -1)
+                sign = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(len(own), -1)
                 for i, j in similar_forest(sign, max(0.0, similarity - 0.2)):
                     a.append(own[i][1])
                     b.append(own[j][1])
@@ -262,13 +279,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
                 held = held[cut:]
         yield edges(held)
 
-    cells = kinds.mapInArrow(spread, "cell long, same long, sign binary").repartition("cell").sortWithinPartitions("cell")
-    pairs = cells.mapInArrow(meet, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    # Most cells hold one text. Their members are found first, without signatures; the others then get theirs.
+    cells = kinds.mapInArrow(spread, "cell long, same long").repartition("cell").sortWithinPartitions("cell")
+    crowd = stored(cells.mapInArrow(crowded, "cell long, same long"), f"{folder}/crowd")
+    signed = kinds.select("same", "sign").join(crowd.hint("merge"), "same").select("cell", "same", "sign")
+    pairs = signed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = stored(pairs, f"{folder}/pairs")
 
     # One text for each kind that has a candidate, then the two texts of each pair side by side.
     members = stored(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct().join(sketches.groupBy("same").agg(F.min("id").alias("id")), "same").where("id is not null"), f"{folder}/members")
-    texts = stored(members.join(rows.toDF("id", "text"), "id").groupBy("same").agg(F.first("text").alias("text")), f"{folder}/texts")
+    # Joins with whole texts are merge joins at every size: how much is shuffled shouldn't jump where a side outgrows a broadcast.
+    texts = stored(rows.toDF("id", "text").join(members.hint("merge"), "id").groupBy("same").agg(F.first("text").alias("text")), f"{folder}/texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,7 +316,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text:
     of = docs[key].cast("long")
     drop = groups.where(F.col("group") < F.col(key)).select(F.col(key).alias("gone")).distinct()
     again = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("twice")).count().where("count > 1").select("twice")
-    kept = docs.join(stored(drop, f"{folder}/drop"), of == F.col("gone"), "left_anti")
+    kept = docs.join(stored(drop, f"{folder}/drop").hint("merge"), of == F.col("gone"), "left_anti")
     again = stored(again, f"{folder}/again")
     if again.isEmpty():
         return kept
