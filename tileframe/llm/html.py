@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, shared_dir, stored
 from .urls import parts
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
@@ -188,7 +188,10 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", key: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.path if x else None for x in boxes], pa.string())], ["host", "path"])
 
     votes = rows.select("host", html).mapInArrow(vote, "host string, path string").where("path is not null")
+    # The winners are a table before they are joined, so Spark knows their size: small, they are broadcast and no page is
+    # shuffled; large, both sides are plain exchanges, and a host that holds a third of all pages is split.
     winners = votes.groupBy("host", "path").count().groupBy("host").agg(F.max_by("path", F.struct("count", "path")).alias("path"))
+    winners = stored(winners, f"{shared_dir(pages.sparkSession)}/winners")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
