@@ -1,32 +1,22 @@
-"""What the operators share: the shared folder, word splitting, connected components."""
+"""What the operators share: word splitting, bounded batches, most frequent rows."""
 
 from __future__ import annotations
 
-import uuid
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..storage import shared_dir, stored
+
+__all__ = ["SPACE", "WORD", "bounded_batches", "components", "frequent", "fresh", "hex64", "shared_dir", "stored", "words_of"]
+
 #: ASCII white space of the word contract, as a Java class and as its complement.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor and the driver can reach.
-
-    Only where the setting is missing (tests on one machine) a folder under /tmp is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tileframe-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends here."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches towards Python hold at most so many rows, so that long texts don't pile up."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
@@ -54,30 +44,10 @@ def hex64(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def components(edges: DataFrame, folder: str, most_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of an edge (a, b); root is the least node of its component.
-
-    Large-star and small-star rounds: each round points all neighbours of a node at its least
-    neighbour, first those above the node, then those below. Every round is one partial
-    aggregation and one join on the node; its result is a table in the shared folder, so lineage
-    stays short. A node of many edges is only aggregated, never gathered. Stops when the set of
-    edges repeats.
-    """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/round0")
-    seen = None
-    for k in range(1, most_rounds + 1):
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
-        now = stored(small, f"{folder}/round{k}")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+def frequent(counts: DataFrame, n: str, most: int) -> Column:
+    """A condition for the rows of counts whose n is greatest: whole steps of a sixteenth of an octave from the top, as
+    many as hold at most `most` rows. Only the steps' sizes come to the driver, so no task sends it rows to compare."""
+    step = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step).count().collect()), reverse=True)
+    upto = accumulate(size for _, size in sizes)
+    return step >= min((k for (k, _), rows in zip(sizes, upto, strict=True) if rows <= most), default=1 << 20)

@@ -144,22 +144,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str
     folder = shared_dir(docs.sparkSession)
     prints = stored(fingerprints(docs, words, text, key), f"{folder}/prints")
     edges = stored(links(prints, radius), f"{folder}/edges")
-    roots = components(edges, f"{folder}/components")
+    roots = components(edges)
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    named = stored(with_least(least, roots, "fp", "component_id"), f"{folder}/named")
+    named = stored(with_least(least, roots, "fp", "component_id", folder), f"{folder}/named")
     return prints.join(named, "fp").select(key, hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def with_least(least: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+def with_least(least: DataFrame, roots: DataFrame, node: str, name: str, folder: str) -> DataFrame:
     """(node, name): for each node of (node, least) the least value in its component. Rows were summed up to nodes
-    before, and what results is a table, so the join with rows that follows can split a node that holds many."""
+    before. Both sides of the join are tables, as the result should be too: so Spark can split a component or a node
+    that holds many."""
     placed = least.join(roots.withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
-    return placed.join(placed.groupBy("root").agg(F.min("least").alias(name)), "root").select(node, name)
+    placed = stored(placed, f"{folder}/placed")
+    by_root = stored(placed.groupBy("root").agg(F.min("least").alias(name)), f"{folder}/by_root")
+    return placed.join(by_root, "root").select(node, name)
 
 
 # --- Near-duplicate groups by word-shingle similarity ------------------------------------------
 
-ROWS, BANDS = 4, 12
+ROWS, BANDS, NEAREST = 4, 12, 3
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -178,23 +181,27 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_forest(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Candidate edges in one cell: a spanning forest of the pairs whose signatures agree in least of their places,
-    each member reached from the nearest one that it can be reached from."""
-    n, edges = len(sign), []
+def similar_edges(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Candidate edges in one cell among the pairs whose signatures agree in least of their places: a maximum spanning
+    forest, in which each member is reached from the nearest one that it can be reached from, and each member's NEAREST
+    most similar others, as a forest's edge may fail the exact test where another would pass it."""
+    n, edges = len(sign), set()
     best, via = np.full(n, -1.0), np.zeros(n, np.int64)
     left = np.ones(n, bool)
     at = 0
-    for _ in range(n - 1):
+    for turn in range(n):
         left[at] = False
-        rest = np.flatnonzero(left)
-        like = (sign[rest] == sign[at]).mean(1)
-        up = like > best[rest]
-        best[rest[up]], via[rest[up]] = like[up], at
-        at = int(rest[np.argmax(best[rest])])
-        if best[at] >= least:
-            edges.append((int(via[at]), at))
-    return edges
+        like = (sign == sign[at]).mean(1)
+        like[at] = -1
+        near = np.argpartition(-like, NEAREST)[:NEAREST] if n > NEAREST else np.arange(n)
+        edges.update((min(at, int(i)), max(at, int(i))) for i in near if like[i] >= least)
+        up = left & (like > best)
+        best[up], via[up] = like[up], at
+        if turn < n - 1:
+            at = int(np.argmax(np.where(left, best, -2)))
+            if best[at] >= least:
+                edges.add((min(int(via[at]), at), max(int(via[at]), at)))
+    return sorted(edges)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -203,8 +210,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     Null or empty texts are alone each, as they have nothing to be copies of.
 
     Candidates come from two searches, as 64 bits of SimHash can't tell 0.8 from less: the grid cells of
-    `links` at three bits, and cells of equal minima of shingle hashes. In a cell a maximum spanning forest
-    of estimated similarity is kept, at most one edge a member; each edge is then verified over whole texts.
+    `links` at three bits, and cells of equal minima of shingle hashes. In a cell a maximum spanning forest of
+    estimated similarity is kept, and each member's nearest others, so at most four edges a member; each edge is
+    then verified over whole texts.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -264,7 +272,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
             for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
                 own = full[lo:hi]
                 sign = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(len(own), -1)
-                for i, j in similar_forest(sign, max(0.0, similarity - 0.2)):
+                for i, j in similar_edges(sign, max(0.0, similarity - 0.2)):
                     a.append(own[i][1])
                     b.append(own[j][1])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -302,9 +310,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     left = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a")
     sides = left.join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     edges = stored(sides.mapInArrow(verify, "a long, b long"), f"{folder}/edges")
-    roots = components(edges, f"{folder}/components")
+    roots = components(edges)
     least = sketches.where("same is not null").groupBy("same").agg(F.min("id").alias("least"))
-    named = stored(with_least(least, roots, "same", "group"), f"{folder}/named")
+    named = stored(with_least(least, roots, "same", "group", folder), f"{folder}/named")
     return sketches.select("id", "same").join(named, "same", "left").select(F.col("id").alias(key), F.coalesce("group", "id").alias("group"))
 
 
