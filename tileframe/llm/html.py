@@ -7,7 +7,7 @@ on its host's path, or from its own best one if it has none there. Parts that ar
 bars, notices, adverts, forms, comments, scripts or styles are left out wherever they stand.
 
 Blocks are what block tags bound; white space within one becomes one space, character references are decoded,
-blocks are joined by two line feeds. Null or empty html gives an empty text. Null and odd urls share the host
+blocks are joined by two line feeds. A tag whose quotes don't match ends at its first >. Null or empty html gives an empty text. Null and odd urls share the host
 ''. Ids may be null or repeat; every row is extracted on its own. Tags that are never closed end with their parent.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shared_dir, stored
 from .urls import parts
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)""", re.S)
 CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Tags by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,7 +148,7 @@ def best_box(found: list[tuple[Node, str, int]]) -> Node | None:
         worth = max(0, len(text) - 2 * links) + (min(text.count(",") + text.count("."), 20) if len(text) > 40 else 0)
         share, x = 1.0, node
         while x is not None:
-            if x.tag in BOX:
+            if x.tag in BOX or x.parent is None:
                 x.score += worth * share * (1.3 if x.tag in ("article", "main") or x.names and GOOD.search(x.names) else 1.0)
                 boxes[id(x)] = x
                 share *= 0.8 if x.tag != "td" else 0.6
