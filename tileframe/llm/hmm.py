@@ -8,7 +8,7 @@ are a table of bounded size, see every token, while counts of all words take par
     log P(text) = forward(classes) + sum over tail tokens of log P(word | class)
 
 Words are counted over the whole training part. Tail words meet their counts in a join on the word; the
-pigeonhole bound (a tail word has at most 1/head of all tokens) keeps that join free of hot keys. The
+pigeonhole bound (a tail word of up to 256 bytes has about 1/head of all tokens at most) keeps that join even. The
 broadcast parts are bounded by head, tails and states. Initial parameters come from Baum-Welch on a
 bounded sample of documents (`sample`); the rounds after it run over all of the training part. In those
 rounds a text is cut into sequences of at most `CHUNK` tokens, which bounds their memory; scores use the
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, stored, words_of
+from .common import bounded_batches, frequent, shared_dir, stored, words_of
 
 END = b""
 CHUNK = 2048
-LONGEST_HEAD = 64
+LONGEST_HEAD = 256
 DISCOUNT = 0.5
 SMOOTH = 20.0
 BATCH_TOKENS = 1 << 20
@@ -178,12 +178,14 @@ def score(docs: DataFrame, states: int = 8, rounds: int = 3, head: int = 50_000,
     partial = rows.where(~held).select("text").mapInArrow(count, "word binary, tail int, n long")
     counts = stored(partial.groupBy("word", "tail").agg(F.sum("n").alias("c")), f"{folder}/counts")
     n_train, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(f"word <> X'' and length(word) <= {LONGEST_HEAD}").orderBy(F.desc("c"), "word").limit(head).select("word", "c").collect()
-    places = {bytes(w): i for i, (w, _) in enumerate(top)}
+    short = (F.col("word") != F.lit(END)) & (F.length("word") <= LONGEST_HEAD)
+    in_head = short & frequent(counts.where(short), "c", head)
+    top = sorted((bytes(w), c) for w, c in counts.where(in_head).select("word", "c").collect())
+    places = {w: i for i, (w, _) in enumerate(top)}
     end = len(places)
     first_tail = end + 1
     size = first_tail + tails
-    below = f"word <> X'' and (length(word) > {LONGEST_HEAD}" + (f" or c < {top[-1][1]} or (c = {top[-1][1]} and word > X'{bytes(top[-1][0]).hex()}'))" if top else " or true)")
+    below = (F.col("word") != F.lit(END)) & ~in_head
     tail_counts = counts.where(below)
     shares = {t: (c, v) for t, c, v in tail_counts.groupBy("tail").agg(F.sum("c"), F.count("*")).collect()}
     ends = counts.where("word = X''").select("c").first()
@@ -218,8 +220,9 @@ def score(docs: DataFrame, states: int = 8, rounds: int = 3, head: int = 50_000,
 
     # Training: a bounded sample for the first parameters, then rounds over all of it.
     train = coded.where("not held_out").select("codes")
-    some = coded.where("not held_out").orderBy(F.xxhash64("id", "rid"), "rid").limit(sample).select("codes").collect()
-    model = first_model([np.frombuffer(x[0], np.int32)[:CHUNK] for x in some], base, states, 12)
+    share = min(1.0, sample / max(1, ends[0] if ends else 0))  # each training document has one end
+    some = train.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 31)) < int(share * (1 << 31))).collect() if share < 1 else train.collect()
+    model = first_model([np.frombuffer(x[0], np.int32)[:CHUNK] for x in some[:sample]], base, states, 12)
     emitted = [f"e{k}" for k in range(states)]
     for _ in range(rounds if some else 0):
         now = sc.broadcast(model.cast(np.float32))

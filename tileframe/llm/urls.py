@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frequent, shared_dir, stored
+
 #: The rules, host and path, and what they say.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Words that make a page count as blocked, alone or two together, and words of ordinary names.
@@ -100,7 +102,8 @@ def counted(rows: DataFrame, make: Callable[[], Callable[[str, str], Iterable[tu
         yield out(seen)
 
     sums = rows.select("host", "path").mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
-    return {tuple(r[:-1]): r[-1] for r in sums.orderBy(F.desc("n"), *names).limit(VOCABULARY).collect()}
+    sums = stored(sums, f"{shared_dir(rows.sparkSession)}/counts")
+    return {tuple(r[:-1]): r[-1] for r in sums.where(frequent(sums, "n", VOCABULARY)).collect()}
 
 
 def unigrams(pieces: dict[str, int]) -> dict[str, float]:
