@@ -230,11 +230,11 @@ def test_links_of_planted_flips(spark):
     values += [centre ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
     values = sorted(set(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    from tileframe.llm.common import components, shared_dir
+    from tileframe.llm.common import components
 
     edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))
     assert edges.count() < 40 * len(values)  # forests, not all pairs
-    got = {r.node: r.root for r in components(edges, shared_dir(spark)).collect()}
+    got = {r.node: r.root for r in components(edges).collect()}
     want = plain_components(signed, [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
     assert all(got.get(v, v) == want[v] for v in signed)
 
@@ -434,6 +434,14 @@ def test_bpe_digests_against_tiktoken(documents, reference):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("steps", [0, 1 << 30])
+def test_bpe_of_many_words_either_way(reference, documents, monkeypatch, steps):
+    monkeypatch.setattr(bpe, "FEW_STEPS", steps)
+    own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = [r.text for r in documents.collect()]
+    assert own.encode_batch(texts) == [reference.encode_ordinary(t) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=60), st.text("ab \n\t'st\u00e9\u1e9e1\u0663<|endoftext|>", max_size=80)), min_size=1, max_size=6))
 def test_bpe_any_text(codec, reference, texts):
@@ -442,7 +450,9 @@ def test_bpe_any_text(codec, reference, texts):
     assert [codec.decode(i).decode() for i in got] == texts
 
 
-def test_replay_where_a_merge_makes_a_lower_one():
+@pytest.mark.parametrize("steps", [0, 3, 1 << 30])
+def test_replay_where_a_merge_makes_a_lower_one(monkeypatch, steps):
+    monkeypatch.setattr(bpe, "FEW_STEPS", steps)
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256, b"ab": 257, b"bc": 258, b"bca": 259, b"abcab": 260}
     enc = tiktoken.Encoding("toy", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(5)
@@ -657,6 +667,22 @@ def test_html_main_text(spark):
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_odd_tags():
+    cases = {
+        '<p>a <a href="x>b</a> c</p>': "a b c",
+        "<p don't>one</p><p>two": "one\n\ntwo",
+        '<div title="a > b">in</div>': "in",
+        "<p>1 < 2 &amp;amp; 3</p>": "1 < 2 &amp; 3",
+        "<table><tr><td>x<td>y<tr><td>z</table>": "x\n\ny\n\nz",
+        "a<br/>b<br>c": "a b c",
+        "<script>if (a</b>) '<p>no</p>'</script>yes<style>p": "yes",
+        "<!-- <p>no --><p>yes<!-- open": "yes",
+        "<ul><li>1<ul><li>1a</ul><li>2</ul>": "1\n\n1a\n\n2",
+    }
+    for page, want in cases.items():
+        assert html.main_text(page, None) == want, page
+
+
 def test_html_consensus_overrules_an_odd_page(spark):
     other = '<body><div class="story"><p>Short.</p></div><div class="more"><p>%s</p></div></body>' % ("Long words of a teaser, and more of them. " * 9)
     rows = [(i, "http://h.example/a", '<body><div class="story"><p>%s</p></div><div class="more"><p>x</p></div></body>' % ("Real text, as it is. " * 9)) for i in range(4)] + [(7, "http://h.example/b", other)]

@@ -14,11 +14,13 @@ longest text and the batch.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import sys
 import types
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh
 
 KEPT = 500_000
+#: Ranks are joined at once until so many of them, more than others since, had fewer places than FEW.
+FEW, FEW_STEPS = 8, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,83 +44,160 @@ class Merges:
     """The rank table as pairs of ids, and the ranks of the pairs of single bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.pairs: dict[int, int] = {}
+        self.pairs: list[dict[int, int]] = [{} for _ in range(max(ranks.values()) + 1)]  # by the left id, then by the right one
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
+                    self.pairs[left][right] = rank
+        keys = sorted((left << 32 | right, rank) for left, row in enumerate(self.pairs) for right, rank in row.items())
+        self.keys, self.key_ranks = np.array([k for k, _ in keys]), np.array([r for _, r in keys])
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)])
         self.first = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)])
 
+    def of(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
+        """Ranks of pairs, -1 for none."""
+        keys = np.asarray(left) << 32 | right
+        if not len(self.keys):
+            return np.full(keys.shape, -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.key_ranks[at], -1)
+
+
+def grouped(index: dict[int, list], heap: list[int] | None, ranks: np.ndarray, places: np.ndarray) -> None:
+    """Enters places into the index by their ranks; new ranks also go to the heap."""
+    order = np.argsort(ranks, kind="stable")
+    ranks, places = ranks[order], places[order]
+    starts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else ranks
+    for rank, part in zip(ranks[starts].tolist(), np.split(places, starts[1:]) if len(ranks) else (), strict=True):
+        if rank in index:
+            index[rank].append(part)
+        else:
+            index[rank] = [part]
+            if heap is not None:
+                heappush(heap, rank)
+
+
+class Row:
+    """The symbols of all words side by side, where each one's neighbours are, and the inverted index."""
+
+    def __init__(self, words: list[bytes], merges: Merges):
+        self.merges = merges
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        sizes = np.array([len(w) for w in words])
+        self.ends = np.cumsum(sizes)
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        self.sym = merges.bytes[raw]  # the symbol that begins here; -1 within one
+        links = np.arange(len(raw))
+        self.nxt, self.prv = links + 1, links - 1
+        self.nxt[self.ends - 1] = -1
+        self.prv[self.ends - sizes] = -1
+        self.pair = np.full(len(raw), -1)  # the rank of the pair that begins here
+        self.pair[:-1] = merges.first[(raw[:-1] << 8) | raw[1:]]
+        self.pair[self.ends - 1] = -1
+        self.index: dict[int, list] = {}  # from ranks to arrays of places
+        places = np.flatnonzero(self.pair >= 0)
+        grouped(self.index, None, self.pair[places], places)
+        self.heap = sorted(self.index)
+
+    def join_many(self) -> None:
+        """Merges of low ranks, which have many places each: a rank's places are joined at once. A word takes part with
+        its leftmost place; its other ones are entered again, as what the joining makes may have a lower rank."""
+        sym, nxt, prv, pair, few = self.sym, self.nxt, self.prv, self.pair, 0
+        while self.heap and few < FEW_STEPS:
+            rank = heappop(self.heap)
+            p = np.unique(np.concatenate(self.index.pop(rank)))
+            p = p[pair[p] == rank]
+            few = few + 1 if len(p) < FEW else max(0, few - 1)
+            if not len(p):
+                continue
+            word = self.word[p]
+            leftmost = np.r_[True, word[1:] != word[:-1]]
+            if not leftmost.all():
+                self.index[rank] = [p[~leftmost]]
+                heappush(self.heap, rank)
+                p = p[leftmost]
+            q, left = nxt[p], prv[p]
+            right = nxt[q]
+            sym[p], sym[q] = rank, -1
+            pair[p] = pair[q] = -1
+            nxt[p] = right
+            more, less = right >= 0, left >= 0
+            prv[right[more]] = p[more]
+            pair[p[more]] = self.merges.of(rank, sym[right[more]])
+            pair[left[less]] = self.merges.of(sym[left[less]], rank)
+            touched = np.r_[p[more], left[less]]
+            touched = touched[pair[touched] >= 0]
+            if len(touched):
+                grouped(self.index, self.heap, pair[touched], touched)
+
+    def join_rest(self) -> None:
+        """The other merges, place by place."""
+        pairs, heap = self.merges.pairs, self.heap
+        sym, nxt, prv = self.sym.tolist(), self.nxt.tolist(), self.prv.tolist()
+        index = {r: np.concatenate(parts).tolist() for r, parts in self.index.items()}
+        places_of = index.get
+        while heap:
+            rank = heappop(heap)
+            at = index.pop(rank, None)
+            if at is None:
+                continue
+            at.sort()
+            with_rank = pairs[rank]
+            for k, p in enumerate(at):
+                q = nxt[p]
+                left = sym[p]
+                if q < 0 or left < 0 or pairs[left].get(sym[q]) != rank:
+                    continue
+                sym[p] = rank
+                sym[q] = -1
+                r1 = r2 = None
+                nxt[p] = q = nxt[q]
+                if q >= 0:
+                    prv[q] = p
+                    r1 = with_rank.get(sym[q])
+                    if r1 is not None:
+                        places = places_of(r1)
+                        if places is not None:
+                            places.append(p)
+                        else:
+                            index[r1] = [p]
+                            heappush(heap, r1)
+                q = prv[p]
+                if q >= 0:
+                    r2 = pairs[sym[q]].get(rank)
+                    if r2 is not None:
+                        places = places_of(r2)
+                        if places is not None:
+                            places.append(q)
+                        else:
+                            index[r2] = [q]
+                            heappush(heap, r2)
+                if (r1 is not None and r1 <= rank) or (r2 is not None and r2 <= rank):
+                    # A merge of a lower rank in this word goes first; the other places wait in the index.
+                    if rank not in index:
+                        index[rank] = []
+                        heappush(heap, rank)
+                    index[rank] += at[k + 1 :]
+                    break
+        self.sym = np.array(sym)
+
+    def ids(self) -> list[list[int]]:
+        live = self.sym >= 0
+        cuts = np.cumsum(live)[self.ends - 1].tolist()
+        ids = self.sym[live].tolist()
+        return [ids[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+
 
 def replay(words: Iterable[bytes], merges: Merges) -> list[list[int]]:
-    """Ids of each word."""
+    """Ids of each word; words aren't empty."""
     words = list(words)
     if not words:
         return []
-    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-    ends = np.cumsum([len(w) for w in words])
-    begins = np.r_[0, ends[:-1]]
-    sym = merges.bytes[raw].tolist()  # the symbol that begins here; -1 within one
-    links = np.arange(len(raw))
-    after, before = links + 1, links - 1
-    after[ends - 1] = -1
-    before[begins] = -1
-    nxt, prv = after.tolist(), before.tolist()
-    ranks = merges.first[(raw[:-1] << 8) | raw[1:]]
-    ranks[ends[:-1] - 1] = -1
-    places = np.flatnonzero(ranks >= 0)
-    places = places[np.argsort(ranks[places], kind="stable")]
-    heap, starts = np.unique(ranks[places], return_index=True)
-    index = dict(zip(heap.tolist(), (x.tolist() for x in np.split(places, starts[1:])), strict=False)) if len(heap) else {}
-    heap = list(index)  # ascending, so a heap
-    rank_of = merges.pairs.get
-    while heap:
-        rank = heappop(heap)
-        at = index.pop(rank, None)
-        if at is None:
-            continue
-        at.sort()
-        for k, p in enumerate(at):
-            q = nxt[p]
-            left = sym[p]
-            if q < 0 or left < 0 or rank_of(left << 32 | sym[q]) != rank:
-                continue
-            sym[p] = rank
-            sym[q] = -1
-            r1 = r2 = None
-            nxt[p] = q = nxt[q]
-            if q >= 0:
-                prv[q] = p
-                r1 = rank_of(rank << 32 | sym[q])
-                if r1 is not None:
-                    if r1 in index:
-                        index[r1].append(p)
-                    else:
-                        index[r1] = [p]
-                        heappush(heap, r1)
-            q = prv[p]
-            if q >= 0:
-                r2 = rank_of(sym[q] << 32 | rank)
-                if r2 is not None:
-                    if r2 in index:
-                        index[r2].append(q)
-                    else:
-                        index[r2] = [q]
-                        heappush(heap, r2)
-            if (r1 is not None and r1 <= rank) or (r2 is not None and r2 <= rank):
-                # A merge of a lower rank in this word goes first; the other places wait in the index.
-                if rank not in index:
-                    index[rank] = []
-                    heappush(heap, rank)
-                index[rank] += at[k + 1 :]
-                break
-    final = np.array(sym)
-    live = final >= 0
-    cuts = np.cumsum(live)[ends - 1].tolist()
-    ids = final[live].tolist()
-    return [ids[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+    row = Row(words, merges)
+    row.join_many()
+    row.join_rest()
+    return row.ids()
 
 
 class Codec:
@@ -131,37 +212,49 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = read_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.tokens = [t for t, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
+        if [self.ranks[t] for t in self.tokens] != list(range(len(self.tokens))):
+            raise ValueError(f"the ranks of {ranks_path} don't run from 0 without gaps")
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.merges = Merges(self.ranks)
-        self.kept: dict[str, list[int]] = {}
+        self.kept = Kept()
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        parts = [self.split(t) if t else [] for t in texts]
-        kept, new = self.kept, set()
-        if len(kept) > KEPT:
-            kept.clear()
-        for p in parts:
-            new.update(p)
-        new = [w for w in new if w not in kept]
-        raw = [w.encode() for w in new]
-        whole = [self.ranks.get(b) for b in raw]
-        rest = [i for i, r in enumerate(whole) if r is None]
-        for w, r in zip(new, whole, strict=True):
-            if r is not None:
-                kept[w] = [r]
-        for i, ids in zip(rest, replay((raw[i] for i in rest), self.merges), strict=True):
-            kept[new[i]] = ids
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                ids += kept[w]
-            out.append(ids)
-        return out
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = self.kept.new = []
+        ids_of = self.kept.__getitem__
+        parts = [list(map(ids_of, self.split(t))) if t else [] for t in texts]
+        rest = []
+        for word, ids in new:
+            raw = word.encode()
+            rank = self.ranks.get(raw)
+            if rank is None:
+                rest.append((raw, ids))
+            else:
+                ids.append(rank)
+        for (_, ids), merged in zip(rest, replay((raw for raw, _ in rest), self.merges), strict=True):
+            ids += merged
+        gc.freeze()  # the words kept are no garbage, so no collection need visit them
+        return [list(chain.from_iterable(p)) for p in parts]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def shown(self, ids: Iterable[int]) -> str:
+        return ",".join(map(self.names.__getitem__, ids))
+
+
+class Kept(dict):
+    """Ids of words. One not seen before gets an empty list, to be filled, and is put on the list new."""
+
+    new: list[tuple[str, list[int]]]
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self[word] = []
+        self.new.append((word, ids))
+        return ids
+
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs and a column token_ids (array<int>). Every column is kept as it is."""
@@ -188,7 +281,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             n, one, two = [], [], []
             for ids in codec.encode_batch(b.column(1).to_pylist()):
                 n.append(len(ids))
-                one.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                one.append(hashlib.sha256(codec.shown(ids).encode()).hexdigest())
                 two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
