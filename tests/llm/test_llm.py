@@ -285,6 +285,49 @@ def test_similar_groups_against_brute_force(spark, documents):
     assert {k: got[k] for k in ids} == want
 
 
+def crowd_of(texts, length=404, apart=6, pairs=20):
+    """Texts on one template, each with own words at `apart` places, and copies of some that differ at a few."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(length)]
+    rows = []
+    for k in range(texts):
+        w = template[:]
+        for i in range(apart):
+            w[rng.randrange(i * length // apart, (i + 1) * length // apart)] = f"own{k}x{i}"
+        rows.append((k, " ".join(w)))
+    for k in range(pairs):
+        w = rows[k][1].split(" ")
+        for i in range(8):
+            w[rng.randrange(i * length // 8, (i + 1) * length // 8)] = f"copy{k}x{i}"
+        rows.append((10_000 + k, " ".join(w)))
+    return rows
+
+
+def test_copies_in_a_crowd_of_a_template_are_found(spark):
+    rows = crowd_of(150)
+    s = {k: shingles(t) for k, t in rows}
+    like = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
+    ids = sorted(s)
+    crowd = [like(a, b) for a in ids[:30] for b in ids[:30] if a < b]
+    assert 0.7 < min(crowd) and max(crowd) < 0.8
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if like(a, b) >= 0.8]
+    assert len(linked) >= 15
+    got = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(ids, linked)
+
+
+def test_open_pairs_of_a_cell_all_meet():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(400, rng.integers(150, 300), replace=False)).astype(np.uint64) for _ in range(200)]
+    sign, size, root = rng.integers(0, 2, (200, 48)).astype(np.uint32), np.array([len(x) for x in sets]), np.arange(200)
+    met = {(min(a, b), max(a, b)) for *_, part in simhash.blocks_left(sign, size, root, 0.8) for a in part for b in part if a != b}
+    assert all((a, b) in met for a in range(200) for b in range(a + 1, 200) if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
+    assert simhash.blocks_left(sign, size, np.zeros(200), 0.8) == []
+    edges = simhash.exact_edges(sets[:40], list(range(40)), 0.4)
+    want = [(a, b) for a in range(40) for b in range(a + 1, 40) if len(np.intersect1d(sets[a], sets[b])) >= 0.4 * len(np.union1d(sets[a], sets[b]))]
+    assert plain_components(range(40), edges) == plain_components(range(40), want)
+
+
 def test_one_of_each_odd_and_empty(odd, nothing):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns

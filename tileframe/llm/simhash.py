@@ -14,7 +14,7 @@ component's id is the least id that is not null. Repeated rows stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +163,8 @@ def with_least(least: DataFrame, roots: DataFrame, node: str, name: str, folder:
 # --- Near-duplicate groups by word-shingle similarity ------------------------------------------
 
 ROWS, BANDS, NEAREST = 4, 12, 3
+#: Members of a cell that are decided pair by pair meet in blocks of so many.
+BLOCK = 64
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +206,80 @@ def similar_edges(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
     return sorted(edges)
 
 
+def blocks_left(sign: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int, list[int]]]:
+    """Of one cell, what `similar_edges` leaves open: pairs in different components whose sizes allow the similarity. Gives
+    (block, block, members), members in order of size, so that each open pair meets in one of them."""
+    if (root == root[0]).all():
+        return []
+    order = np.argsort(size, kind="stable")
+    least = similarity - 1e-9  # sizes are compared with room for rounding; the decision itself is exact
+    if len(order) <= BLOCK:
+        open_ = (root[:, None] != root) & (np.minimum(size[:, None], size) >= least * np.maximum(size[:, None], size))
+        for i, j in similar_edges(sign, max(0.0, similarity - 0.2)):
+            open_[i, j] = open_[j, i] = False
+        own = [int(i) for i in order if open_[i].any()]
+        return [(0, 0, own)] if own else []
+    s, r = size[order], root[order]
+    turns = np.r_[0, np.cumsum(r[1:] != r[:-1])]
+    first, last = np.searchsorted(s, least * s, side="left"), np.searchsorted(s, s / least, side="right") - 1
+    order = order[turns[first] != turns[last]]  # those with another component among the sizes in reach
+    cut = [order[i : i + BLOCK] for i in range(0, len(order), BLOCK)]
+    out = []
+    for i, a in enumerate(cut):
+        if len(cut) == 1:
+            out.append((i, i, a.tolist()))
+        for j in range(i + 1, len(cut)):
+            b = cut[j]
+            # A pair within a block meets wherever its block goes first, so the next block is always met.
+            if j == i + 1 or size[a[-1]] >= least * size[b[0]]:
+                out.append((i, j, [*a.tolist(), *b.tolist()]))
+    return [(i, j, x) for i, j, x in out if (root[x] != root[x[0]]).any()]
+
+
+def exact_edges(sets: list[np.ndarray], root: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Edges between members (sorted distinct hashes each) whose Jaccard similarity reaches `similarity`, so that
+    every such pair is connected by them and by equal roots."""
+    names = {r: i for i, r in enumerate(dict.fromkeys(root))}
+    group = np.array([names[r] for r in root])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    at = np.r_[0, np.cumsum(size)]
+    held, out = np.zeros(int(ids.max()) + 1, bool), []
+    for i in range(len(sets) - 1):
+        later = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        later = later[np.minimum(size[later], size[i]) >= (similarity - 1e-9) * np.maximum(size[later], size[i])]
+        if not len(later):
+            continue
+        own = ids[at[i] : at[i + 1]]
+        held[own] = True
+        for j in later:
+            if group[j] != group[i]:
+                both = int(held[ids[at[j] : at[j + 1]]].sum())
+                if both >= similarity * (size[i] + size[j] - both):
+                    out.append((i, int(j)))
+                    group[group == group[j]] = group[i]
+        held[own] = False
+    return out
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list[tuple]]]:
+    """Rows sorted by their first columns as lists of the rows that agree in them, those of one row left out."""
+    held: list[tuple] = []
+
+    def cut(full: list[tuple]) -> list[list[tuple]]:
+        return [own for _, x in groupby(full, key=lambda row: row[:keys]) if len(own := list(x)) > 1]
+
+    for x in batches:
+        held += zip(*(c.to_pylist() for c in x.columns), strict=True)
+        if held and held[0][:keys] != held[-1][:keys]:
+            n = len(held)
+            while held[n - 1][:keys] == held[-1][:keys]:
+                n -= 1
+            yield cut(held[:n])
+            held = held[n:]
+    yield cut(held)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, group) for every row: texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity` share a group, named by the least key in it. Rows with the same words always share one.
@@ -212,7 +288,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     Candidates come from two searches, as 64 bits of SimHash can't tell 0.8 from less: the grid cells of
     `links` at three bits, and cells of equal minima of shingle hashes. In a cell a maximum spanning forest of
     estimated similarity is kept, and each member's nearest others, so at most four edges a member; each edge is
-    then verified over whole texts.
+    then verified over whole texts. What that leaves open in a cell, pairs that no verified edges connect, is decided
+    over whole sets of shingles, in pairs of blocks.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -220,18 +297,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fp, sign = [], [], []
+            same, fp, sign, size = [], [], [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
                 h = shingle_hashes(w, words)
                 same.append(xxhash.xxh64_intdigest(b" ".join(w), SEED) >> 1 if w else None)
                 fp.append(simhash(h))
-                sign.append(minima(np.unique(h)).tobytes() if w else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary())], ["id", "same", "fp", "sign"])
+                h = np.unique(h)
+                sign.append(minima(h).tobytes() if w else None)
+                size.append(len(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(size, pa.int64())], ["id", "same", "fp", "sign", "size"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string"))
-    sketches = stored(rows.mapInArrow(sketch, "id long, same long, fp long, sign binary"), f"{folder}/sketches")
-    kinds = stored(sketches.where("same is not null").groupBy("same").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign")), f"{folder}/kinds")
+    sketches = stored(rows.mapInArrow(sketch, "id long, same long, fp long, sign binary, size long"), f"{folder}/sketches")
+    kinds = stored(sketches.where("same is not null").groupBy("same").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("size").alias("size")), f"{folder}/kinds")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,30 +341,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
             cell, same = cell[upto:], same[upto:]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-
-        def edges(full: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            cell = np.array([x[0] for x in full], np.int64)
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-            ends = np.r_[starts[1:], len(cell)]
+        for full in whole_cells(batches, 1):
             a, b = [], []
-            for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                own = full[lo:hi]
+            for own in full:
                 sign = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(len(own), -1)
                 for i, j in similar_edges(sign, max(0.0, similarity - 0.2)):
                     a.append(own[i][1])
                     b.append(own[j][1])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for x in batches:
-            held += zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)
-            if held and held[0][0] != held[-1][0]:
-                cut = len(held)
-                while held[cut - 1][0] == held[-1][0]:
-                    cut -= 1
-                yield edges(held[:cut])
-                held = held[cut:]
-        yield edges(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     # Most cells hold one text. Their members are found first, without signatures; the others then get theirs.
     cells = kinds.mapInArrow(spread, "cell long, same long").repartition("cell").sortWithinPartitions("cell")
@@ -310,7 +373,41 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     left = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a")
     sides = left.join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     edges = stored(sides.mapInArrow(verify, "a long, b long"), f"{folder}/edges")
-    roots = components(edges)
+    roots = stored(components(edges), f"{folder}/roots")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in whole_cells(batches, 1):
+            for own in full:
+                sign = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(len(own), -1)
+                size, root = (np.array([x[k] for x in own], np.int64) for k in (3, 4))
+                for i, j, part in blocks_left(sign, size, root, similarity):
+                    n = len(part)
+                    cols = ([own[0][0]] * n, [i] * n, [j] * n, [own[k][1] for k in part], [own[k][4] for k in part])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cell", "i", "j", "same", "root"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(t), words)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["same", "hashes"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in whole_cells(batches, 3):
+            found = [(own[i][3], own[j][3]) for own in full for i, j in exact_edges([np.frombuffer(x[5], np.uint64) for x in own], [x[4] for x in own], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    # What is open in the cells now that components are known, then the sets of its members side by side.
+    rooted = kinds.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "sign", "size", F.coalesce("root", "same").alias("root"))
+    placed = rooted.join(crowd.hint("merge"), "same").select("cell", "same", "sign", "size", "root")
+    units = stored(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(rest, "cell long, i long, j long, same long, root long"), f"{folder}/units")
+    if not units.isEmpty():
+        asked = units.select("same").distinct().join(sketches.groupBy("same").agg(F.min("id").alias("id")), "same").where("id is not null")
+        asked = stored(asked, f"{folder}/asked")
+        sets = rows.toDF("id", "text").join(asked.hint("merge"), "id").groupBy("same").agg(F.first("text").alias("text"))
+        sets = stored(sets.mapInArrow(shingled, "same long, hashes binary"), f"{folder}/sets")
+        full = units.join(sets.hint("merge"), "same").select("cell", "i", "j", "same", "root", "hashes")
+        more = stored(full.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(decide, "a long, b long").distinct(), f"{folder}/more")
+        if not more.isEmpty():
+            roots = components(edges.union(more))
     least = sketches.where("same is not null").groupBy("same").agg(F.min("id").alias("least"))
     named = stored(with_least(least, roots, "same", "group", folder), f"{folder}/named")
     return sketches.select("id", "same").join(named, "same", "left").select(F.col("id").alias(key), F.coalesce("group", "id").alias("group"))
