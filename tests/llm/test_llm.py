@@ -610,6 +610,37 @@ def test_numbers_that_fail_their_check_stay():
         assert pii.replaced(s) == (s, [])
 
 
+@pytest.mark.parametrize(
+    "value, after",
+    [
+        ("4111 1111 1111 1111", " 12/27"),
+        ("4111111111111111", " 123"),
+        ("4111-1111-1111-1111", " 12 27"),
+        ("ES91 2100 0418 4502 0005 1332", " BIC"),
+        ("ES9121000418450200051332", " SANTANDER"),
+        ("GB82 WEST 1234 5698 7654 32", " GB"),
+        ("2024-05-01", "T12:00:00Z"),
+        ("1987-02-28", "T1"),
+    ],
+)
+def test_valid_values_before_more_are_replaced(value, after):
+    for prefix in ("", "see "):
+        text = f"{prefix}{value}{after} end"
+        new, spans = pii.replaced(text)
+        assert [(i, j) for _, i, j in spans] == [(len(prefix), len(prefix) + len(value))]
+        assert value not in new and new.endswith(f"{after} end")
+        assert pii.replaced(new, back=True)[0] == text
+    assert pii.replaced("2024-05-01Top")[1] == []
+
+
+@given(st.integers(0, 10**15 - 1), st.integers(0, 9999))
+@settings(max_examples=200, deadline=None)
+def test_cards_before_digits_can_be_undone(n, after):
+    body = f"{n:015d}"
+    text = body + next(c for c in "0123456789" if pii.luhn(body + c) == 0) + f" {after}"
+    assert pii.replaced(pii.replaced(text)[0], back=True)[0] == text
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 5000))
 def test_feistel_is_a_permutation(size):

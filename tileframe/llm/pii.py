@@ -3,7 +3,8 @@
 A value's variable characters are read as one number in mixed radix (10 for a digit, 26 for a letter, and so
 on); a Feistel network keyed with BLAKE2 permutes the numbers below the format's size, walking its cycle until
 it is inside the size and the format's own check holds again. So a card number stays a card number with a right
-check digit, a date stays a date, equal values have equal pseudonyms in all documents, and who holds the key
+check digit, a date stays a date, equal values have equal pseudonyms in all documents (but for a card or IBAN whose pseudonym
+would pass its check together with what follows), and who holds the key
 can turn them back. Numbers that fail their check (wrong check digit, octet over 255, no such day) stay as they are.
 
 Kinds: email (local part and subdomains), phone, card, iban, ssn, ip, date. Null texts stay null, empty ones
@@ -38,8 +39,14 @@ PATTERN = re.compile(
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
     r"|(?P<ip>(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
     r"|(?P<card>[0-9](?:[\x20-]?[0-9]){12,18})"
-    r")(?![A-Za-z0-9])"
+    r")(?(date)(?![A-SU-Za-z0-9]|T(?![0-9]))|(?![A-Za-z0-9]))"
 )
+#: How many characters an IBAN of a country has.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
 MAY_HOLD = re.compile(r"[0-9@]")
 
 
@@ -112,8 +119,9 @@ def day_of(s: str) -> tuple[date, str] | None:
 
 
 @lru_cache(100_000)
-def pseudonym(kind: str, s: str, key: bytes = KEY, back: bool = False) -> str | None:
-    """The pseudonym of a value, or None if the value fails its kind's check."""
+def pseudonym(kind: str, s: str, key: bytes = KEY, back: bool = False, tails: tuple[str, ...] = ()) -> str | None:
+    """The pseudonym of a value, or None if the value fails its kind's check. A card or IBAN doesn't pass its check
+    together with any of the tails that follow it, and its pseudonym won't either, so it is found again."""
     digits = re.sub("[^0-9]", "", s)
     if kind == "email":
         local, _, domain = s.partition("@")
@@ -125,15 +133,15 @@ def pseudonym(kind: str, s: str, key: bytes = KEY, back: bool = False) -> str |
     if kind == "card":
         if luhn(digits) or len(set(digits)) == 1:
             return None
-        body = permuted(digits[:-1], kind, key, back, lambda b: len(set(b)) > 1)
-        return put(s, body + next(c for c in "0123456789" if luhn(body + c) == 0))
+        whole = lambda b: b + next(c for c in "0123456789" if luhn(b + c) == 0)
+        return put(s, whole(permuted(digits[:-1], kind, key, back, lambda b: len(set(whole(b))) > 1 and all(luhn(whole(b) + t) for t in tails))))
     if kind == "iban":
         plain = s.replace(" ", "")
         check = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
         if not 15 <= len(plain) <= 34 or check(plain) != 1:
             return None
-        body = permuted(plain[4:], kind + plain[:2], key, back)
-        new = iter(plain[:2] + f"{98 - check(plain[:2] + '00' + body):02d}" + body)
+        whole = lambda b: plain[:2] + f"{98 - check(plain[:2] + '00' + b):02d}" + b
+        new = iter(whole(permuted(plain[4:], kind + plain[:2], key, back, lambda b: all(len(plain + t) > 34 or check(whole(b) + t) != 1 for t in tails))))
         return "".join(c if c == " " else next(new) for c in s)
     if kind == "ssn":
         right = lambda t: t[:3] not in ("000", "666") and t[0] != "9" and t[4:6] != "00" and t[7:] != "0000"
@@ -150,6 +158,18 @@ def pseudonym(kind: str, s: str, key: bytes = KEY, back: bool = False) -> str |
     return (FIRST_DAY + timedelta(feistel((found[0] - FIRST_DAY).days, DAYS, b"date:", key, back))).strftime(found[1])
 
 
+def shorter(kind: str, s: str) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """Ends of the shorter cards or IBANs that a match of the kind begins with, longest first, each with what the longer
+    candidates have after it."""
+    ends = [m.end() for m in re.finditer("[A-Za-z0-9]+", s)] if kind in ("card", "iban") else []
+    plain = [re.sub("[^A-Za-z0-9]", "", s[:e]) for e in ends]
+    most = plain[-1:]
+    for e, x in list(zip(ends, plain, strict=True))[-2::-1]:
+        if 13 <= len(x) if kind == "card" else 15 <= len(x) and IBAN_LENGTHS.get(x[:2], len(x)) == len(x):
+            yield e, tuple(y[len(x) :] for y in most)
+            most.append(x)
+
+
 def replaced(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was replaced, in code points of the text given."""
     if not text or not MAY_HOLD.search(text):
@@ -158,6 +178,10 @@ def replaced(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[st
     while m := PATTERN.search(text, look):
         kind, lo, hi = m.lastgroup, m.start(), m.end()
         new = pseudonym(kind, m[0], key, back)
+        for end, tails in shorter(kind, m[0]) if new is None else ():
+            if new := pseudonym(kind, m[0][:end], key, back, tails):
+                hi = lo + end
+                break
         if new is None:
             # What fails as one kind may hold another: look again behind its first run of letters and digits.
             look = lo + max(1, len(re.match("[A-Za-z0-9]*", m[0])[0]))
