@@ -316,7 +316,8 @@ def test_copies_in_a_crowd_of_a_template_are_found(spark):
     assert got == plain_components(ids, linked)
 
 
-def test_open_pairs_of_a_cell_all_meet():
+def test_open_pairs_of_a_cell_all_meet(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 64)
     rng = np.random.default_rng(3)
     sets = [np.sort(rng.choice(400, rng.integers(150, 300), replace=False)).astype(np.uint64) for _ in range(200)]
     sign, size, root = rng.integers(0, 2, (200, 48)).astype(np.uint32), np.array([len(x) for x in sets]), np.arange(200)

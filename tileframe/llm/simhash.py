@@ -164,7 +164,7 @@ def with_least(least: DataFrame, roots: DataFrame, node: str, name: str, folder:
 
 ROWS, BANDS, NEAREST = 4, 12, 3
 #: Members of a cell that are decided pair by pair meet in blocks of so many.
-BLOCK = 64
+BLOCK = 512
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def similar_edges(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 def blocks_left(sign: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int, list[int]]]:
     """Of one cell, what `similar_edges` leaves open: pairs in different components whose sizes allow the similarity. Gives
-    (block, block, members), members in order of size, so that each open pair meets in one of them."""
+    (block, block, members), so that each open pair meets in one of them."""
     if (root == root[0]).all():
         return []
     order = np.argsort(size, kind="stable")
@@ -223,17 +223,20 @@ def blocks_left(sign: np.ndarray, size: np.ndarray, root: np.ndarray, similarity
     turns = np.r_[0, np.cumsum(r[1:] != r[:-1])]
     first, last = np.searchsorted(s, least * s, side="left"), np.searchsorted(s, s / least, side="right") - 1
     order = order[turns[first] != turns[last]]  # those with another component among the sizes in reach
+    # Large components first, each on its own, so that their members needn't meet each other in mixed blocks.
+    _, part, many = np.unique(root[order], return_inverse=True, return_counts=True)
+    own = np.where(many[part] > BLOCK, part, len(many))
+    order = order[np.lexsort((size[order], own))]
     cut = [order[i : i + BLOCK] for i in range(0, len(order), BLOCK)]
     out = []
     for i, a in enumerate(cut):
-        if len(cut) == 1:
-            out.append((i, i, a.tolist()))
-        for j in range(i + 1, len(cut)):
+        for j in range(i, len(cut)):
             b = cut[j]
-            # A pair within a block meets wherever its block goes first, so the next block is always met.
-            if j == i + 1 or size[a[-1]] >= least * size[b[0]]:
-                out.append((i, j, [*a.tolist(), *b.tolist()]))
-    return [(i, j, x) for i, j, x in out if (root[x] != root[x[0]]).any()]
+            open_ = (root[a][:, None] != root[b]) & (np.minimum(size[a][:, None], size[b]) >= least * np.maximum(size[a][:, None], size[b]))
+            if open_.any():
+                left, right = a[open_.any(1)], b[open_.any(0)]
+                out.append((i, j, np.unique(np.r_[left, right]).tolist()))
+    return out
 
 
 def exact_edges(sets: list[np.ndarray], root: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -252,12 +255,11 @@ def exact_edges(sets: list[np.ndarray], root: list[int], similarity: float) -> l
             continue
         own = ids[at[i] : at[i + 1]]
         held[own] = True
-        for j in later:
+        both = np.add.reduceat(held[ids[at[later[0]] :]], at[later[0] : -1] - at[later[0]], dtype=np.int64)[later - later[0]]
+        for j in later[both >= similarity * (size[i] + size[later] - both)]:
             if group[j] != group[i]:
-                both = int(held[ids[at[j] : at[j + 1]]].sum())
-                if both >= similarity * (size[i] + size[j] - both):
-                    out.append((i, int(j)))
-                    group[group == group[j]] = group[i]
+                out.append((i, int(j)))
+                group[group == group[j]] = group[i]
         held[own] = False
     return out
 
