@@ -450,6 +450,38 @@ def test_decoding_ends():
     assert secrets.all_spans("%41%zz \\ud800 \\u12 %%% =====")[1] == []
 
 
+PACKS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("outer", range(len(PACKS)))
+@pytest.mark.parametrize("inner", range(len(PACKS)))
+def test_compressed_layers_are_unpacked_to_the_end(outer, inner):
+    kinds = lambda raw: {k for k, *_ in secrets.all_spans(f"see {b64(raw)} end")[1]}
+    every, text = {"assign", "access", "hex"}, ("x " + SECRET).encode()
+    assert kinds(PACKS[outer](PACKS[inner](text))) >= every
+    assert kinds(PACKS[outer](PACKS[inner](PACKS[outer](text)))) >= every
+    assert kinds(PACKS[outer](b"plain words first, ") + PACKS[inner](text)) >= every
+    assert kinds(PACKS[outer](b"plain words first, ") + text) >= every
+    assert kinds(PACKS[outer](text) + b"\xff\xfe\0\0\0\0\0\0") >= every
+
+
+@pytest.mark.parametrize("odd", ["\u00a0", "\ufeff", "\u200b", "\0", "\x1b"])
+def test_any_utf8_is_a_layer(odd):
+    text = f"{odd}mot de passe{odd} : " + SECRET
+    for raw in (text.encode(), gzip.compress(text.encode())):
+        assert {k for k, *_ in secrets.all_spans(b64(raw))[1]} >= {"assign", "access", "hex"}
+
+
+def test_what_unpacks_to_much_is_scanned():
+    wrapped = b64(gzip.compress(b"ab cd " * 2_000_000 + SECRET.encode() + b" ab cd" * 2_000_000))
+    spans = secrets.all_spans(f"see {wrapped} end")[1]
+    assert {s for s in spans if s[1] == 4} == {(k, 4, 4 + len(wrapped)) for k in secrets.KINDS}
+    ends = secrets.all_spans("token=" + b64(gzip.compress(b"abcdefghijklmnop " + b"ab cd " * 4_000_000)))[1]
+    assert ("assign", 0, ends[-1][2]) in ends
+    plain = b64(gzip.compress(b"ab cd " * 4_000_000))
+    assert [s for s in secrets.all_spans(f"see {plain} end")[1] if (s[1], s[2]) == (4, 4 + len(plain))] == []
+
+
 def test_secrets_odd_and_empty(odd, nothing):
     got = secrets.digests(odd).collect()
     assert len(got) == odd.count() and all(r.spans == "" for r in got if r.doc_id in (2, 3))
