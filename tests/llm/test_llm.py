@@ -745,6 +745,34 @@ def test_urls_against_plain(spark, sf):
     assert urls.judged(rows.limit(0)).count() == 0
 
 
+def test_urls_of_many_rare_words_against_plain(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwz") for _ in range(7))
+    rows = [(k, f"http://{name()}.net/{name()}{'/casino' if k % 9 == 0 else ''}") for k in range(27_000)] + [(90_000, "http://a.net/" + "q" * 30)]
+    cut = {k: urls.pieces(*plain_rule(u)[:2]) for k, u in rows}
+    n = Counter(x for own in cut.values() for x in own)
+    assert len(n) > 50_000
+    lexicon = set(urls.STRONG + urls.WEAK + urls.ORDINARY)
+    weight = {w: math.sqrt(c) / 10 for w, c in n.items()}
+    more = max(50.0, sum(weight.values()) / 200)
+    s = urls.Segmenter(weight | {w: weight.get(w, 0.0) + more for w in lexicon})
+    split = {x: s.split(x) for x in n}
+    text = {k: [w for x in own for w in split[x]] for k, own in cut.items()}
+    c, pages = Counter(), Counter()
+    for own in text.values():
+        label = "block" if any(w in urls.STRONG for w in own) or len(set(own) & set(urls.WEAK)) >= 2 else "allow"
+        pages[label] += 1
+        c.update((label, w) for w in own)
+    c.update({(label, w): urls.LEXICON for label, own in (("block", urls.STRONG + urls.WEAK), ("allow", urls.ORDINARY)) for w in own})
+    size = len({w for _, w in c}) + 2
+    total = {k: sum(v for (label, _), v in c.items() if label == k) for k in ("block", "allow")}
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    for k, own in text.items():
+        score = math.log((pages["block"] + 1) / (pages["allow"] + 1))
+        score += sum(math.log((c["block", w] + 1) / (total["block"] + size)) - math.log((c["allow", w] + 1) / (total["allow"] + size)) for w in own)
+        assert got[k].words == " ".join(own) and math.isclose(got[k].score, score, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_viterbi_is_optimal():
     s = urls.Segmenter({"cheap": 50, "pills": 50, "a": 5, "heap": 9})
     name = "cheappillsa"
