@@ -112,14 +112,46 @@ def test_expected_counts_are_exact_and_rounds_never_lower_the_likelihood():
             for c, a in zip(r, path, strict=True):
                 emits[c, a] += p / whole
     got = m.forward_backward(rows)
-    for x, y in zip(got, (start, moves, emits), strict=True):
-        assert np.allclose(x, y, atol=1e-5)
+    for x, y in zip(got[:3], (start, moves, emits), strict=True):
+        assert np.allclose(x, y)
+    assert math.isclose(got[3] / math.log(10), sum(brute_likelihood(m, r) for r in rows))
     before = m.log10(rows).sum()
     norm = lambda a, axis: a / a.sum(axis, keepdims=True)
     after = hmm.Model(norm(got[0], 0), norm(got[1], 1), norm(got[2], 0))
     assert after.log10(rows).sum() >= before - 1e-6
 
 
+def test_counts_of_pieces_are_those_of_the_whole():
+    m, rng = toy_model(), np.random.default_rng(1)
+    rows = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 50, 7, 23, 16)]
+    for most in (1, 2, 7, 16, 49):
+        for x, y in zip(m.forward_backward(rows, most), m.forward_backward(rows), strict=True):
+            assert np.allclose(x, y, rtol=1e-10)
+
+
+def test_scores_dont_depend_on_partitions(spark, documents):
+    long = spark.createDataFrame([(10**6, "w" * 300 + " some " + "w" * 300 + " " + "v" * 300)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(long)
+    got = [sorted((r.doc_id, r.score, r.base_score, r.n_known) for r in hmm.score(docs.repartition(n), head=300, tails=64).collect()) for n in (1, 13)]
+    assert [r[::3] for r in got[0]] == [r[::3] for r in got[1]]
+    assert np.allclose([r[1:3] for r in got[0]], [r[1:3] for r in got[1]], rtol=1e-9)
+
+
+def test_most_frequent_rows_of_one_step_are_taken_in_part(spark):
+    from tileframe.llm.common import frequent
+
+    counts = spark.range(1000).selectExpr("cast(id as string) word", "if(id < 10, 100L, 1L) c")
+    some = counts.where(frequent(counts, "c", 300, "word"))
+    assert some.where("c = 100").count() == 10 and 200 < some.count() < 380
+    assert counts.where(frequent(counts, "c", 2000, "word")).count() == 1000
+
+
+def test_words_that_dont_go_together_are_chosen():
+    a, b = np.array([5, 4, 0, 0, 1.0]), np.array([0, 0, 6, 3, 1.0])
+    goes = hmm.apart(np.outer(a, a) + np.outer(b, b), 2)
+    assert (np.argmax(goes, 1)[:2] == np.argmax(goes[0])).all() and (np.argmax(goes, 1)[2:4] == np.argmax(goes[2])).all() and np.argmax(goes[0]) != np.argmax(goes[2])
+
+
 def test_shares_of_words_in_a_class_sum_to_one():
     counts = {b"running": 3, b"swimming": 1, b"king": 2}
     c, v = sum(counts.values()), len(counts)
@@ -316,17 +348,63 @@ def test_copies_in_a_crowd_of_a_template_are_found(spark):
     assert got == plain_components(ids, linked)
 
 
-def test_open_pairs_of_a_cell_all_meet(monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 64)
+def test_copies_in_a_crowd_over_many_blocks_are_found(spark, monkeypatch):
+    rows = crowd_of(150)
+    monkeypatch.setattr(simhash.crowded, "__defaults__", (16,))
+    s = {k: shingles(t) for k, t in rows}
+    ids = sorted(s)
+    linked = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    got = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(ids, linked)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_exact_pairs_against_brute_force(spark, tmp_path, similarity):
     rng = np.random.default_rng(3)
-    sets = [np.sort(rng.choice(400, rng.integers(150, 300), replace=False)).astype(np.uint64) for _ in range(200)]
-    sign, size, root = rng.integers(0, 2, (200, 48)).astype(np.uint32), np.array([len(x) for x in sets]), np.arange(200)
-    met = {(min(a, b), max(a, b)) for *_, part in simhash.blocks_left(sign, size, root, 0.8) for a in part for b in part if a != b}
-    assert all((a, b) in met for a in range(200) for b in range(a + 1, 200) if min(size[a], size[b]) >= 0.8 * max(size[a], size[b]))
-    assert simhash.blocks_left(sign, size, np.zeros(200), 0.8) == []
-    edges = simhash.exact_edges(sets[:40], list(range(40)), 0.4)
-    want = [(a, b) for a in range(40) for b in range(a + 1, 40) if len(np.intersect1d(sets[a], sets[b])) >= 0.4 * len(np.union1d(sets[a], sets[b]))]
-    assert plain_components(range(40), edges) == plain_components(range(40), want)
+    sets = [np.sort(rng.choice(60, rng.integers(1, 50), replace=False)) * 7 - 100 for _ in range(150)]
+    sets += [np.unique(np.r_[x[: len(x) * 9 // 10], 1000 + k]) for k, x in enumerate(sets[:40])] + sets[:3]
+    root = [k % 90 for k in range(len(sets))]
+    rows = [(k, len(x), x.tolist(), r) for k, (x, r) in enumerate(zip(sets, root, strict=True))]
+    got = simhash.exact_pairs(spark.createDataFrame(rows, "same long, size long, hashes array<long>, root long"), similarity, str(tmp_path)).collect()
+    want = {(b, a) for a in range(len(sets)) for b in range(a + 1, len(sets)) if root[a] != root[b] and len(np.intersect1d(sets[a], sets[b])) >= similarity * len(np.union1d(sets[a], sets[b]))}
+    assert len(want) > 30 and {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=60), st.integers(1, 9), st.integers(1, 5))
+def test_crowded_rows_in_blocks(cells, step, most):
+    import pyarrow as pa
+
+    cells = sorted(cells)
+    batches = [pa.RecordBatch.from_arrays([pa.array(cells[i : i + step], pa.int64()), pa.array(range(i, min(i + step, len(cells))), pa.int64())], ["cell", "same"]) for i in range(0, len(cells), step)]
+    got = Counter(r for b in simhash.crowded(iter(batches), most) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    want = Counter()
+    for c, n in Counter(cells).items():
+        own = [i for i, x in enumerate(cells) if x == c]
+        want.update((c, k // most, i) for k, i in enumerate(own) if n > 1)
+        want.update((c, k // most, own[0]) for k in range(most, n, most))
+    assert got == want
+
+
+def test_pairs_in_range_share_a_finer_cell():
+    rng = random.Random(4)
+    for m in simhash.AGREEING[:4]:
+        for _ in range(20):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample(range(64), 3):
+                y ^= 1 << b
+            a, b = (np.array([v], np.uint64) for v in (x, y))
+            assert any(p[0] == q[0] for p, q in zip(simhash.cells_of(a, 3, m), simhash.cells_of(b, 3, m), strict=True))
+    assert simhash.agreeing(10, 3) == 3 and simhash.agreeing(10**10, 3) > 3
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(5, " ".join(w), 1, 1), (5, "quite another text " * 9, 2, 2), (7, " ".join([*w[:99], "x"]), 3, 3), (8, " ".join(f"v{i}" for i in range(100)), 4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, twice int")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r.gone for r in got.collect()) == [1, 2, 4]
 
 
 def test_one_of_each_odd_and_empty(odd, nothing):

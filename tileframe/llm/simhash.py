@@ -3,8 +3,9 @@
 A fingerprint's 64 bits are cut into 32 segments of two bits; the bit counts of the segments are a
 point in a grid with 32 dimensions. The Manhattan distance of two points never exceeds the Hamming
 distance of the fingerprints. Within Manhattan distance r at most r of the 32 counts differ, so of
-r + 3 groups of neighbouring dimensions at least three agree: each choice of three groups and their
-counts names a grid cell, and every pair in range shares one. Inside a cell the lower bound is
+r + m groups of neighbouring dimensions at least m agree: each choice of m groups and their
+counts names a grid cell, and every pair in range shares one. The more fingerprints there are, the larger m is
+and the finer the cells, so that a cell's expected number of members stays small. Inside a cell the lower bound is
 tested first and the fingerprints themselves after it.
 
 Null and empty texts have fingerprint zero and link like any other. Null ids keep their row; the
@@ -22,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, components, hex64, shared_dir, stored, words_of
+from .common import WORD, bounded_batches, components, fresh, hex64, shared_dir, stored, words_of
 
 SEED = 42
-GROUPS_THAT_AGREE = 3
+#: Choices of how many groups agree. A count of two bits holds 1.5 bits of information, so m of r + m groups name 2^(48 m / (r + m)) cells.
+AGREEING = (3, 4, 5, 7, 9)
+IN_A_CELL = 4
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -67,13 +70,18 @@ def unary(fp: np.ndarray) -> np.ndarray:
     return ((a & b) << np.uint64(1)) | (a | b)
 
 
-def cells_of(fp: np.ndarray, radius: int) -> list[np.ndarray]:
+def agreeing(n: int, radius: int) -> int:
+    """How many groups must agree so that n fingerprints are some IN_A_CELL to a cell at most, as far as that goes."""
+    return next((m for m in AGREEING if n <= IN_A_CELL * 2 ** (48 * m / (radius + m))), AGREEING[-1])
+
+
+def cells_of(fp: np.ndarray, radius: int, agree: int = AGREEING[0]) -> list[np.ndarray]:
     """For each choice of groups, the cell that each fingerprint falls in."""
     code = unary(fp)
-    cuts = np.linspace(0, 32, radius + GROUPS_THAT_AGREE + 1).astype(int)
+    cuts = np.linspace(0, 32, radius + agree + 1).astype(int)
     masks = [sum(3 << (2 * i) for i in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     out = []
-    for k, chosen in enumerate(combinations(masks, GROUPS_THAT_AGREE)):
+    for k, chosen in enumerate(combinations(masks, agree)):
         x = (code & np.uint64(sum(chosen))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0xD1B54A32D192ED03 & (1 << 64) - 1)
         x ^= x >> np.uint64(32)  # invertible, so that different cells of one choice stay apart
         out.append(x.view(np.int64))
@@ -101,11 +109,13 @@ def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints in column fp whose closure holds every link of at most radius bits."""
+    distinct = stored(prints.select("fp").distinct(), f"{shared_dir(prints.sparkSession)}/distinct")
+    agree = agreeing(distinct.count(), radius)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            for cell in cells_of(fp.view(np.uint64), radius):
+            for cell in cells_of(fp.view(np.uint64), radius, agree):
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp)], ["cell", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +145,7 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
                 cell, fp = cell[cut:], fp[cut:]
         yield edges(cell, fp)
 
-    spread_out = prints.select("fp").distinct().mapInArrow(spread, "cell long, fp long")
+    spread_out = distinct.mapInArrow(spread, "cell long, fp long")
     return spread_out.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -151,20 +161,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str
 
 
 def with_least(least: DataFrame, roots: DataFrame, node: str, name: str, folder: str) -> DataFrame:
-    """(node, name): for each node of (node, least) the least value in its component. Rows were summed up to nodes
-    before. Both sides of the join are tables, as the result should be too: so Spark can split a component or a node
-    that holds many."""
-    placed = least.join(roots.withColumnRenamed("node", node), node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
+    """(node, name, and further columns of least): for each node of (node, least) the least value in its component. Rows
+    were summed up to nodes before. Both sides of the join are tables, as the result should be too: so Spark can split a
+    component or a node that holds many."""
+    placed = least.join(roots.withColumnRenamed("node", node), node, "left").select(*least.columns, F.coalesce("root", node).alias("root"))
     placed = stored(placed, f"{folder}/placed")
     by_root = stored(placed.groupBy("root").agg(F.min("least").alias(name)), f"{folder}/by_root")
-    return placed.join(by_root, "root").select(node, name)
+    return placed.join(by_root, "root").drop("least", "root")
 
 
 # --- Near-duplicate groups by word-shingle similarity ------------------------------------------
 
 ROWS, BANDS, NEAREST = 4, 12, 3
-#: Members of a cell that are decided pair by pair meet in blocks of so many.
-BLOCK = 512
+#: Members of a cell meet in blocks of so many at first; what blocks leave open is found by `prefix_pairs`.
+BLOCK = 1024
+#: Signatures of 48 places estimate a similarity with a standard deviation of 0.06; candidates may fall short by five of those.
+SHORT = 0.3
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +196,9 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def similar_edges(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Candidate edges in one cell among the pairs whose signatures agree in least of their places: a maximum spanning
-    forest, in which each member is reached from the nearest one that it can be reached from, and each member's NEAREST
-    most similar others, as a forest's edge may fail the exact test where another would pass it."""
+    """Candidate edges in one block of a cell among the pairs whose signatures agree in least of their places: a maximum
+    spanning forest, in which each member is reached from the nearest one that it can be reached from, and each member's
+    NEAREST most similar others, as a forest's edge may fail the exact test where another would pass it."""
     n, edges = len(sign), set()
     best, via = np.full(n, -1.0), np.zeros(n, np.int64)
     left = np.ones(n, bool)
@@ -206,62 +218,27 @@ def similar_edges(sign: np.ndarray, least: float) -> list[tuple[int, int]]:
     return sorted(edges)
 
 
-def blocks_left(sign: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int, list[int]]]:
-    """Of one cell, what `similar_edges` leaves open: pairs in different components whose sizes allow the similarity. Gives
-    (block, block, members), so that each open pair meets in one of them."""
+def prefix_pairs(size: np.ndarray, place: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the members that have one shingle in their prefixes, at `place` among their `size` shingles, the positions of
+    those pairs that can still reach the similarity and aren't connected yet; blocks of a few rows at a time.
+
+    Two sets share at least similarity / (1 + similarity) of their sizes' sum if they are that similar, and at the
+    first place that they share no more than what follows it."""
     if (root == root[0]).all():
-        return []
+        return
+    share, room = similarity / (1 + similarity), 1e-9
+    rest = size - place
     order = np.argsort(size, kind="stable")
-    least = similarity - 1e-9  # sizes are compared with room for rounding; the decision itself is exact
-    if len(order) <= BLOCK:
-        open_ = (root[:, None] != root) & (np.minimum(size[:, None], size) >= least * np.maximum(size[:, None], size))
-        for i, j in similar_edges(sign, max(0.0, similarity - 0.2)):
-            open_[i, j] = open_[j, i] = False
-        own = [int(i) for i in order if open_[i].any()]
-        return [(0, 0, own)] if own else []
-    s, r = size[order], root[order]
-    turns = np.r_[0, np.cumsum(r[1:] != r[:-1])]
-    first, last = np.searchsorted(s, least * s, side="left"), np.searchsorted(s, s / least, side="right") - 1
-    order = order[turns[first] != turns[last]]  # those with another component among the sizes in reach
-    # Large components first, each on its own, so that their members needn't meet each other in mixed blocks.
-    _, part, many = np.unique(root[order], return_inverse=True, return_counts=True)
-    own = np.where(many[part] > BLOCK, part, len(many))
-    order = order[np.lexsort((size[order], own))]
-    cut = [order[i : i + BLOCK] for i in range(0, len(order), BLOCK)]
-    out = []
-    for i, a in enumerate(cut):
-        for j in range(i, len(cut)):
-            b = cut[j]
-            open_ = (root[a][:, None] != root[b]) & (np.minimum(size[a][:, None], size[b]) >= least * np.maximum(size[a][:, None], size[b]))
-            if open_.any():
-                left, right = a[open_.any(1)], b[open_.any(0)]
-                out.append((i, j, np.unique(np.r_[left, right]).tolist()))
-    return out
-
-
-def exact_edges(sets: list[np.ndarray], root: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Edges between members (sorted distinct hashes each) whose Jaccard similarity reaches `similarity`, so that
-    every such pair is connected by them and by equal roots."""
-    names = {r: i for i, r in enumerate(dict.fromkeys(root))}
-    group = np.array([names[r] for r in root])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    size = np.array([len(x) for x in sets])
-    at = np.r_[0, np.cumsum(size)]
-    held, out = np.zeros(int(ids.max()) + 1, bool), []
-    for i in range(len(sets) - 1):
-        later = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-        later = later[np.minimum(size[later], size[i]) >= (similarity - 1e-9) * np.maximum(size[later], size[i])]
-        if not len(later):
-            continue
-        own = ids[at[i] : at[i + 1]]
-        held[own] = True
-        both = np.add.reduceat(held[ids[at[later[0]] :]], at[later[0] : -1] - at[later[0]], dtype=np.int64)[later - later[0]]
-        for j in later[both >= similarity * (size[i] + size[later] - both)]:
-            if group[j] != group[i]:
-                out.append((i, int(j)))
-                group[group == group[j]] = group[i]
-        held[own] = False
-    return out
+    s, r, g = size[order], rest[order], root[order]
+    for lo in range(0, len(order), 256):
+        a = slice(lo, lo + 256)
+        upto = int(np.searchsorted(s, s[a][-1] / similarity + 1, side="right"))
+        b = slice(lo, upto)
+        need = share * (s[a][:, None] + s[b]) - room
+        open_ = (g[a][:, None] != g[b]) & (s[a][:, None] >= (similarity - room) * s[b]) & (r[a][:, None] >= need) & (r[b] >= need)
+        i, j = np.nonzero(np.triu(open_, 1))
+        if len(i):
+            yield order[lo + i], order[lo + j]
 
 
 def whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list[tuple]]]:
@@ -282,16 +259,42 @@ def whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[l
     yield cut(held)
 
 
+def crowded(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """(cell, block, same) of the rows (cell, same), sorted, that aren't alone in their cell. A cell goes on in blocks of
+    `most` rows, each with the cell's first row besides; only the last row waits for the next batch."""
+    cell, same = np.empty(0, np.int64), np.empty(0, np.int64)
+    before, place, leader = None, -1, 0  # the last row given: its cell, its place there, and that cell's first row
+    for last, x in chain(((False, x) for x in batches), [(True, None)]):
+        if x is not None:
+            cell = np.concatenate([cell, x.column(0).to_numpy(zero_copy_only=False)])
+            same = np.concatenate([same, x.column(1).to_numpy(zero_copy_only=False)])
+        upto = len(cell) if last else len(cell) - 1
+        if upto < 1:
+            continue
+        new = np.r_[before != cell[0], cell[1:] != cell[:-1]]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(cell)), -1))
+        places = np.where(start >= 0, np.arange(len(cell)) - start, np.arange(len(cell)) + place + 1)
+        leaders = np.where(start >= 0, same[start], leader)
+        crowd = (~new | np.r_[~new[1:], False])[:upto]
+        keep = np.flatnonzero(crowd)
+        lead = keep[(places[keep] > 0) & (places[keep] % most == 0)]
+        at = np.r_[keep, lead]
+        yield pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array(places[at] // most), pa.array(np.r_[same[keep], leaders[lead]])], ["cell", "block", "same"])
+        before, place, leader = int(cell[upto - 1]), int(places[upto - 1]), int(leaders[upto - 1])
+        cell, same = cell[upto:], same[upto:]
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, group) for every row: texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity` share a group, named by the least key in it. Rows with the same words always share one.
-    Null or empty texts are alone each, as they have nothing to be copies of.
+    Null or empty texts are alone each, as they have nothing to be copies of. Ties go to the lesser key; an empty table
+    gives an empty result.
 
     Candidates come from two searches, as 64 bits of SimHash can't tell 0.8 from less: the grid cells of
-    `links` at three bits, and cells of equal minima of shingle hashes. In a cell a maximum spanning forest of
+    `links` at three bits, and cells of equal minima of shingle hashes. In a block of a cell a maximum spanning forest of
     estimated similarity is kept, and each member's nearest others, so at most four edges a member; each edge is
-    then verified over whole texts. What that leaves open in a cell, pairs that no verified edges connect, is decided
-    over whole sets of shingles, in pairs of blocks.
+    then verified over whole texts. Cells in which members remain that no verified edges connect are decided exactly: by a
+    join on prefixes of their members' shingles, rare ones first, so that what a crowd shares leads nowhere.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -299,20 +302,25 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fp, sign, size = [], [], [], []
+            same, more, fp, sign, size = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
                 h = shingle_hashes(w, words)
-                same.append(xxhash.xxh64_intdigest(b" ".join(w), SEED) >> 1 if w else None)
+                whole = b" ".join(w)
+                same.append(xxhash.xxh64_intdigest(whole, SEED) >> 1 if w else None)
+                more.append(xxhash.xxh64_intdigest(whole, SEED + 1) >> 1 if w else None)
                 fp.append(simhash(h))
                 h = np.unique(h)
                 sign.append(minima(h).tobytes() if w else None)
                 size.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(size, pa.int64())], ["id", "same", "fp", "sign", "size"])
+            cols = (pa.array(same, pa.int64()), pa.array(more, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sign, pa.binary()), pa.array(size, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["id", "exact", "same", "more", "fp", "sign", "size"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string"))
-    sketches = stored(rows.mapInArrow(sketch, "id long, same long, fp long, sign binary, size long"), f"{folder}/sketches")
-    kinds = stored(sketches.where("same is not null").groupBy("same").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("size").alias("size")), f"{folder}/kinds")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("exact", F.xxhash64("text"))
+    sketches = stored(rows.mapInArrow(sketch, "id long, exact long, same long, more long, fp long, sign binary, size long"), f"{folder}/sketches")
+    # Texts are told apart by 126 bits. Of two that share the first 63 one stands for the kind, and the other stays alone.
+    first = F.min(F.struct("more", F.col("id").isNull().alias("no_id"), "id", "exact", "fp", "size", "sign")).alias("k")
+    kinds = stored(sketches.where("same is not null").groupBy("same").agg(first).select("same", "k.*"), f"{folder}/kinds")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,45 +332,33 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
             for cell in [*bands, *cells_of(fp, 3)]:
                 yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0)], ["cell", "same"])
 
-    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of sorted cells that aren't alone in theirs; the last row waits for the next batch."""
-        cell, same, before = np.empty(0, np.int64), np.empty(0, np.int64), None
-        for last, x in chain(((False, x) for x in batches), [(True, None)]):
-            if x is not None:
-                cell = np.concatenate([cell, x.column(0).to_numpy(zero_copy_only=False)])
-                same = np.concatenate([same, x.column(1).to_numpy(zero_copy_only=False)])
-            if not len(cell):
-                continue
-            like = cell[1:] == cell[:-1]
-            crowd = np.r_[before == cell[0], like] | np.r_[like, False]
-            upto = len(cell) if last else len(cell) - 1
-            keep = np.flatnonzero(crowd[:upto])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(same[keep])], ["cell", "same"])
-            if upto:
-                before = int(cell[upto - 1])
-            cell, same = cell[upto:], same[upto:]
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in whole_cells(batches, 1):
+        for full in whole_cells(batches, 2):
             a, b = [], []
             for own in full:
-                sign = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(len(own), -1)
-                for i, j in similar_edges(sign, max(0.0, similarity - 0.2)):
-                    a.append(own[i][1])
-                    b.append(own[j][1])
+                sign = np.frombuffer(b"".join(x[3] for x in own), np.uint32).reshape(len(own), -1)
+                for i, j in similar_edges(sign, max(0.0, similarity - SHORT)):
+                    a.append(own[i][2])
+                    b.append(own[j][2])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     # Most cells hold one text. Their members are found first, without signatures; the others then get theirs.
-    cells = kinds.mapInArrow(spread, "cell long, same long").repartition("cell").sortWithinPartitions("cell")
-    crowd = stored(cells.mapInArrow(crowded, "cell long, same long"), f"{folder}/crowd")
-    signed = kinds.select("same", "sign").join(crowd.hint("merge"), "same").select("cell", "same", "sign")
-    pairs = signed.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = stored(pairs, f"{folder}/pairs")
+    cells = kinds.select("same", "fp", "sign").mapInArrow(spread, "cell long, same long").repartition("cell").sortWithinPartitions("cell", "same")
+    crowd = stored(cells.mapInArrow(crowded, "cell long, block long, same long"), f"{folder}/crowd")
+    signed = kinds.select("same", "sign").join(crowd.hint("merge"), "same").select("cell", "block", "same", "sign")
+    pairs = signed.repartition("cell", "block").sortWithinPartitions("cell", "block", "same").mapInArrow(meet, "a long, b long")
+    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{folder}/pairs")
 
-    # One text for each kind that has a candidate, then the two texts of each pair side by side.
-    members = stored(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct().join(sketches.groupBy("same").agg(F.min("id").alias("id")), "same").where("id is not null"), f"{folder}/members")
-    # Joins with whole texts are merge joins at every size: how much is shuffled shouldn't jump where a side outgrows a broadcast.
-    texts = stored(rows.toDF("id", "text").join(members.hint("merge"), "id").groupBy("same").agg(F.first("text").alias("text")), f"{folder}/texts")
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(words_of(t), words)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["same", "size", "hashes"])
+
+    def texts_of(of: DataFrame, name: str) -> DataFrame:
+        """(same, text) of the kinds in `of`. Ids may repeat, so texts are found by id and hash. Joins with whole texts are
+        merge joins at every size: how much is shuffled shouldn't jump where a side outgrows a broadcast."""
+        ids = stored(kinds.where("id is not null").select("same", "id", "exact").join(of.select("same").distinct(), "same"), f"{folder}/{name}")
+        return rows.join(ids.hint("merge"), ["id", "exact"]).groupBy("same").agg(F.first("text").alias("text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -372,61 +368,82 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
                 keep.append(len(p & q) >= similarity * len(p | q))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # One text for each kind that has a candidate, then the two texts of each pair side by side.
+    texts = stored(texts_of(pairs.select(F.col("a").alias("same")).union(pairs.select("b")), "members"), f"{folder}/texts")
     left = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a")
     sides = left.join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     edges = stored(sides.mapInArrow(verify, "a long, b long"), f"{folder}/edges")
     roots = stored(components(edges), f"{folder}/roots")
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Members of the cells that hold several components still; cells so small that all their pairs were candidates are done.
+    placed = crowd.select("cell", "same").distinct().join(roots.withColumnRenamed("node", "same"), "same", "left").select("cell", "same", F.coalesce("root", "same").alias("root"))
+    placed = stored(placed, f"{folder}/placed_in_cells")
+    still = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other"))
+    still = stored(still.where((F.col("n") > NEAREST + 1) & (F.col("one") != F.col("other"))).select("cell"), f"{folder}/still")
+    if not still.isEmpty():
+        asked = stored(placed.join(still, "cell").select("same", "root").distinct(), f"{folder}/asked")
+        sets = stored(texts_of(asked, "asked_ids").mapInArrow(shingled, "same long, size long, hashes array<long>"), f"{folder}/sets")
+        more = exact_pairs(sets.join(asked, "same"), similarity, folder)
+        if not more.isEmpty():
+            roots = components(edges.union(more))
+    least = kinds.select("same", F.col("more").alias("of"), F.col("id").alias("least"))
+    named = stored(with_least(least, roots, "same", "group", folder), f"{folder}/named")
+    own = sketches.select("id", "same", "more").join(named, "same", "left")
+    return own.select(F.col("id").alias(key), F.when(F.col("of") == F.col("more"), F.coalesce("group", "id")).otherwise(F.col("id")).alias("group"))
+
+
+def exact_pairs(sets: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """Edges (a, b) between all rows of sets (same, size, hashes: distinct shingles, ascending; root) whose Jaccard
+    similarity reaches `similarity` and whose roots differ: an exact join on prefixes.
+
+    Shingles are ordered by how many of the sets hold them. Two sets that are similar enough share one of the first
+    size - ceil(similarity * size) + 1 of either; shingles that only one set holds take part by their places alone."""
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in whole_cells(batches, 1):
             for own in full:
-                sign = np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(len(own), -1)
-                size, root = (np.array([x[k] for x in own], np.int64) for k in (3, 4))
-                for i, j, part in blocks_left(sign, size, root, similarity):
-                    n = len(part)
-                    cols = ([own[0][0]] * n, [i] * n, [j] * n, [own[k][1] for k in part], [own[k][4] for k in part])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["cell", "i", "j", "same", "root"])
+                same, size, place, root = (np.array([x[k] for x in own], np.int64) for k in (1, 2, 3, 4))
+                for i, j in prefix_pairs(size, place, root, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(same[i]), pa.array(same[j])], ["a", "b"])
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), words)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["same", "hashes"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for full in whole_cells(batches, 3):
-            found = [(own[i][3], own[j][3]) for own in full for i, j in exact_edges([np.frombuffer(x[5], np.uint64) for x in own], [x[4] for x in own], similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    # What is open in the cells now that components are known, then the sets of its members side by side.
-    rooted = kinds.join(roots.withColumnRenamed("node", "same"), "same", "left").select("same", "sign", "size", F.coalesce("root", "same").alias("root"))
-    placed = rooted.join(crowd.hint("merge"), "same").select("cell", "same", "sign", "size", "root")
-    units = stored(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(rest, "cell long, i long, j long, same long, root long"), f"{folder}/units")
-    if not units.isEmpty():
-        asked = units.select("same").distinct().join(sketches.groupBy("same").agg(F.min("id").alias("id")), "same").where("id is not null")
-        asked = stored(asked, f"{folder}/asked")
-        sets = rows.toDF("id", "text").join(asked.hint("merge"), "id").groupBy("same").agg(F.first("text").alias("text"))
-        sets = stored(sets.mapInArrow(shingled, "same long, hashes binary"), f"{folder}/sets")
-        full = units.join(sets.hint("merge"), "same").select("cell", "i", "j", "same", "root", "hashes")
-        more = stored(full.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(decide, "a long, b long").distinct(), f"{folder}/more")
-        if not more.isEmpty():
-            roots = components(edges.union(more))
-    least = sketches.where("same is not null").groupBy("same").agg(F.min("id").alias("least"))
-    named = stored(with_least(least, roots, "same", "group", folder), f"{folder}/named")
-    return sketches.select("id", "same").join(named, "same", "left").select(F.col("id").alias(key), F.coalesce("group", "id").alias("group"))
+            keep = []
+            for k in range(b.num_rows):
+                x, y = (c[k].values.to_numpy() for c in (b.column(2), b.column(3)))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    each = sets.select("same", F.explode("hashes").alias("h"))
+    shared = stored(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), f"{folder}/shared")
+    ranked = each.join(shared, "h").groupBy("same").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("in_order"))
+    alone = F.col("size") - F.size("in_order")
+    first = F.col("size") - F.ceil(F.lit(similarity - 1e-9) * F.col("size")) + 1 - alone
+    prefix = sets.select("same", "size", "root").join(ranked, "same").where(first > 0)
+    prefix = prefix.select("same", "size", "root", alone.alias("alone"), F.posexplode(F.slice("in_order", F.lit(1), first.cast("int"))).alias("at", "x"))
+    prefix = prefix.select(F.col("x.h").alias("h"), "same", "size", (F.col("alone") + F.col("at")).alias("place"), "root")
+    found = prefix.repartition("h").sortWithinPartitions("h").mapInArrow(pairs_of, "a long, b long")
+    found = stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/found")
+    whole = sets.select("same", "hashes")
+    left = found.join(whole.toDF("a", "x").hint("merge"), "a")
+    sides = left.join(whole.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+    return stored(sides.mapInArrow(verify, "a long, b long"), f"{folder}/more")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key isn't the least of its group; of rows that repeat both key and text one stays.
-    Rows with a null key or without a word all stay."""
+    Rows with a null key or without a word all stay. An empty table gives an empty result."""
     folder = shared_dir(docs.sparkSession)
+    gone, twice = fresh(docs, "gone", "twice")
     groups = stored(similar_groups(docs, words, similarity, text, key), f"{folder}/groups")
     of = docs[key].cast("long")
-    drop = groups.where(F.col("group") < F.col(key)).select(F.col(key).alias("gone")).distinct()
-    again = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("twice")).count().where("count > 1").select("twice")
-    kept = docs.join(stored(drop, f"{folder}/drop").hint("merge"), of == F.col("gone"), "left_anti")
+    drop = groups.where(F.col("group") < F.col(key)).select(F.col(key).alias(gone)).distinct()
+    again = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(twice)).count().where("count > 1").select(twice)
+    kept = docs.join(stored(drop, f"{folder}/drop").hint("merge"), of == F.col(gone), "left_anti")
     again = stored(again, f"{folder}/again")
     if again.isEmpty():
         return kept
-    rest = kept.join(again, of == F.col("twice"), "left_semi")
+    rest = kept.join(again, of == F.col(twice), "left_semi")
     worded = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
-    return kept.join(again, of == F.col("twice"), "left_anti").unionByName(rest.where(~worded)).unionByName(rest.where(worded).dropDuplicates([key, text]))
+    return kept.join(again, of == F.col(twice), "left_anti").unionByName(rest.where(~worded)).unionByName(rest.where(worded).dropDuplicates([key, text]))
