@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +42,15 @@ def hex64(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def frequent(counts: DataFrame, n: str, most: int) -> Column:
-    """A condition for the rows of counts whose n is greatest: whole steps of a sixteenth of an octave from the top, as
-    many as hold at most `most` rows. Only the steps' sizes come to the driver, so no task sends it rows to compare."""
+def frequent(counts: DataFrame, n: str, most: int, key: str) -> Column:
+    """A condition for the rows of counts whose n is greatest, about `most` of them: whole steps of a sixteenth of an octave
+    from the top, and of the step at the border the share that there is room for, by a hash of `key`. Only the steps'
+    sizes come to the driver, so no task sends it rows to compare."""
     step = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step).count().collect()), reverse=True)
-    upto = accumulate(size for _, size in sizes)
-    return step >= min((k for (k, _), rows in zip(sizes, upto, strict=True) if rows <= most), default=1 << 20)
+    left = most
+    for k, rows in sizes:
+        if rows > left:
+            return (step > k) | ((step == k) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(left / rows * (1 << 30))))
+        left -= rows
+    return F.lit(True)
