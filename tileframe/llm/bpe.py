@@ -1,36 +1,37 @@
-"""Byte-level BPE by merge replay over the distinct words of a batch.
+"""Byte-level BPE by merge replay over the distinct words of the corpus.
 
-All distinct words of a batch of texts lie in one row of symbols. An inverted index leads from the rank of a
+Texts are cut into words by the pattern; chunks of texts become numbers: a word that is a token is its rank, any other one
+is a place in the chunk's own list of words. The distinct words of all chunks meet in Spark, dealt out by hash, and each
+is merged once: all words of a slice lie in one row of symbols. An inverted index leads from the rank of a
 merge to the positions of the pairs that it joins; merges are applied in rank order, each over all its positions
 from left to right, and only the pairs to the left and right of a joined one are entered anew. A new pair of a
-lower rank than the current merge is joined first, as the order within each word demands. Words don't depend on
-each other, so replaying them per batch gives what replaying the whole corpus gives, and no word list has to
-travel; a worker keeps words it has met, up to `KEPT`.
+lower rank than the current merge is joined first, as the order within each word demands. The ids then go back to the
+chunks by a join on the word, and chunks are spread out to texts again.
 
-Null and empty texts have no tokens. Repeated rows are encoded each. Whole texts are encoded; memory follows the
-longest text and the batch.
+Null and empty texts have no tokens. Repeated rows are encoded each; an empty table gives an empty result. Whole texts are
+encoded; memory follows the longest text, the chunk and the slice.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
-import sys
-import types
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, fresh, shared_dir, stored
 
-KEPT = 500_000
+#: Characters of a chunk, and bytes of the words that are merged side by side.
+CHUNK, SLICE = 1 << 22, 1 << 20
 #: Ranks are joined at once until so many of them, more than others since, had fewer places than FEW.
 FEW, FEW_STEPS = 8, 40
 
@@ -201,13 +202,7 @@ def replay(words: Iterable[bytes], merges: Merges) -> list[list[int]]:
 
 
 class Codec:
-    @classmethod
-    def of_worker(cls, ranks_path: str, pattern: str) -> Codec:
-        """One for all tasks that a Python worker runs, so that its words are kept between them."""
-        held = sys.modules.setdefault("_tileframe_worker", types.ModuleType("_tileframe_worker")).__dict__
-        if (ranks_path, pattern) not in held:
-            held[ranks_path, pattern] = cls(ranks_path, pattern)
-        return held[ranks_path, pattern]
+    """Texts to numbers and numbers to ids."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = read_ranks(ranks_path)
@@ -216,27 +211,30 @@ class Codec:
         if [self.ranks[t] for t in self.tokens] != list(range(len(self.tokens))):
             raise ValueError(f"the ranks of {ranks_path} don't run from 0 without gaps")
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.merges = Merges(self.ranks)
-        self.kept = Kept()
+
+    def cut(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+        """For each text the numbers of its words, and the words that are no token: the first has the number that
+        follows the ranks."""
+        numbers = Numbers(self.ranks)
+        number_of = numbers.__getitem__
+        return [np.array(list(map(number_of, self.split(t))), np.int32) if t else np.empty(0, np.int32) for t in texts], numbers.words
+
+    def ids(self, numbers: np.ndarray, of_words: list[np.ndarray]) -> np.ndarray:
+        """The ids of numbers in a row, those of each word that is no token in its place, and where each number's ids end."""
+        n = len(self.tokens)
+        source = np.concatenate([np.arange(n, dtype=np.int32), *of_words]) if of_words else np.arange(n, dtype=np.int32)
+        lengths = np.r_[np.ones(n, np.int64), [len(x) for x in of_words]].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[numbers]
+        ends = np.cumsum(own)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[numbers] - (ends - own), own)
+        return source[at], ends
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = self.kept.new = []
-        ids_of = self.kept.__getitem__
-        parts = [list(map(ids_of, self.split(t))) if t else [] for t in texts]
-        rest = []
-        for word, ids in new:
-            raw = word.encode()
-            rank = self.ranks.get(raw)
-            if rank is None:
-                rest.append((raw, ids))
-            else:
-                ids.append(rank)
-        for (_, ids), merged in zip(rest, replay((raw for raw, _ in rest), self.merges), strict=True):
-            ids += merged
-        gc.freeze()  # the words kept are no garbage, so no collection need visit them
-        return [list(chain.from_iterable(p)) for p in parts]
+        """Ids of each text, all in one process."""
+        numbers, words = self.cut(texts)
+        of_words = [np.array(x, np.int32) for x in replay(words, Merges(self.ranks))]
+        return [self.ids(x, of_words)[0].tolist() for x in numbers]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -245,45 +243,135 @@ class Codec:
         return ",".join(map(self.names.__getitem__, ids))
 
 
-class Kept(dict):
-    """Ids of words. One not seen before gets an empty list, to be filled, and is put on the list new."""
+class Numbers(dict):
+    """Numbers of words: ranks of tokens; others are numbered as they come."""
 
-    new: list[tuple[str, list[int]]]
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.words = ranks, []
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self[word] = []
-        self.new.append((word, ids))
-        return ids
+    def __missing__(self, word: str) -> int:
+        raw = word.encode()
+        n = self.ranks.get(raw)
+        if n is None:
+            n = len(self.ranks) + len(self.words)
+            self.words.append(raw)
+        self[word] = n
+        return n
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs and a column token_ids (array<int>). Every column is kept as it is."""
-    bounded_batches(docs.sparkSession)
-    (name,) = fresh(docs, "token_ids")
-    at = docs.columns.index(text)
+def pressed(numbers: np.ndarray) -> bytes:
+    """Numbers by their first bytes, second bytes and so on, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpressed(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def cut(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: str) -> DataFrame:
+    """Chunks of docs: (chunk, kept: the columns keep of its rows, sizes: words of each, numbers, words)."""
+    rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    fields = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kept", T.ArrayType(rows.schema["kept"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of_worker(ranks_path, pattern)
+        codec, held, size, chunk = Codec(ranks_path, pattern), [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal chunk
+            kept = pa.concat_arrays([b.column(0) for b in held]).cast(arrow.field("kept").type.value_type)
+            numbers, words = codec.cut([t for b in held for t in b.column(1).to_pylist()])
+            name = held[0].column(2)[0].as_py() << 32 | chunk
+            chunk += 1
+            cols = [[name], None, [pressed(np.array([len(x) for x in numbers]))], [pressed(np.concatenate(numbers))], [words]]
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept) if c is None else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
         for b in batches:
-            ids = codec.encode_batch(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, name])
+            lengths = np.cumsum(np.fromiter((len(t or "") for t in b.column(1).to_pylist()), np.int64, b.num_rows))
+            at = 0
+            while at < b.num_rows:
+                past = lengths[at - 1] if at else 0
+                upto = min(b.num_rows, int(np.searchsorted(lengths, past + max(1, CHUNK - size), side="left")) + 1)
+                held.append(b.slice(at, upto - at))
+                size += int(lengths[upto - 1] - past)
+                at = upto
+                if size >= CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, fields)
+
+
+def merged(words: DataFrame, ranks_path: str) -> DataFrame:
+    """(word, ids) of distinct words, by merge replay over slices of each partition."""
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(name)).schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, held, size = None, [], 0
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(replay(held, merges), pa.list_(pa.int32()))], ["word", "ids"])
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded again by the codec."""
+        for b in batches:
+            merges = merges or Merges(read_ranks(ranks_path))
+            for w in b.column(0).to_pylist():
+                held.append(w)
+                size += len(w)
+                if size >= SLICE:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return words.mapInArrow(run, "word binary, ids array<int>")
+
+
+def spread(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: str, give: Callable[[Codec, list[np.ndarray]], list[pa.Array]], schema: T.StructType) -> DataFrame:
+    """The columns keep of docs, and those that give makes of the ids of some rows; schema: all of these."""
     bounded_batches(docs.sparkSession)
+    folder = shared_dir(docs.sparkSession)
+    chunks = stored(cut(docs, keep, ranks_path, pattern, text), f"{folder}/chunks")
+    each = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+    words = stored(merged(each.select("word").distinct(), ranks_path), f"{folder}/words")
+    back = each.join(words, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x")).select("chunk", F.col("x.ids").alias("ids"))
+    full = chunks.select("chunk", "kept", "sizes", "numbers").join(back, "chunk", "left").select("kept", "sizes", "numbers", "ids")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of_worker(ranks_path, pattern)
+        codec = Codec(ranks_path, pattern)
         for b in batches:
-            n, one, two = [], [], []
-            for ids in codec.encode_batch(b.column(1).to_pylist()):
-                n.append(len(ids))
-                one.append(hashlib.sha256(codec.shown(ids).encode()).hexdigest())
-                two.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for k in range(b.num_rows):
+                kept, sizes, numbers = b.column(0)[k].values, unpressed(b.column(1)[k].as_py()), unpressed(b.column(2)[k].as_py())
+                of = b.column(3)[k].values
+                of_words = [] if of is None else np.split(of.values.to_numpy()[of.offsets[0].as_py() : of.offsets[-1].as_py()], of.offsets.to_numpy()[1:-1] - of.offsets[0].as_py())
+                ids, ends = codec.ids(numbers, of_words)
+                cuts = np.r_[0, ends][np.cumsum(sizes)] if len(sizes) else np.empty(0, np.int64)
+                made = give(codec, np.split(ids, cuts[:-1]))
+                cols = [*kept.flatten(), *made]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return full.mapInArrow(run, schema)
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all, if not given) and a column token_ids (array<int>)."""
+    keep = docs.columns if keep is None else keep
+    (name,) = fresh(docs.select(*keep), "token_ids")
+    give = lambda codec, ids: [pa.array(ids, pa.list_(pa.int32()))]
+    return spread(docs, keep, ranks_path, pattern, text, give, docs.select(*keep, F.lit(None).cast("array<int>").alias(name)).schema)
+
+
+def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded again."""
+
+    def give(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+        lists = [x.tolist() for x in ids]
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
+        return [pa.array([len(x) for x in lists], pa.int64()), pa.array([sha(codec.shown(x).encode()) for x in lists], pa.string()), pa.array([sha(codec.decode(x)) for x in lists], pa.string())]
+
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    schema = rows.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    return spread(rows, [key], ranks_path, pattern, text, give, schema)
