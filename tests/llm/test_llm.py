@@ -685,6 +685,13 @@ def test_quality_odd_and_empty(odd, nothing):
 
 # --- op8 ---------------------------------------------------------------------------------------
 
+KEY = b"a key of these tests"
+
+
+def replaced(text, key=KEY, back=False):
+    return pii.replaced(text, key, back)
+
+
 PERSONAL = {
     "email": "mary.ann.34@mail7.example.com",
     "phone": "+1 (017) 555-7713",
@@ -700,12 +707,12 @@ PERSONAL = {
 def test_pseudonyms_keep_format_links_and_can_be_undone(kind):
     v = PERSONAL[kind]
     text = f"see {v}, again {v}!!"
-    new, spans = pii.replaced(text)
+    new, spans = replaced(text)
     assert [s[0] for s in spans] == [kind, kind] and v not in new
     first, second = new[4:].split(", again ")
     assert second == first + "!!"
-    assert pii.replaced(new, back=True)[0] == text
-    assert pii.replaced(text, key=b"another")[0] != new
+    assert replaced(new, back=True)[0] == text
+    assert replaced(text, key=b"another")[0] != new
     if kind == "card":
         assert pii.luhn(first) == 0 and len(first) == 16
     if kind == "date":
@@ -718,7 +725,7 @@ def test_pseudonyms_keep_format_links_and_can_be_undone(kind):
 
 def test_numbers_that_fail_their_check_stay():
     for s in ("9807915762804490", "300.1.2.3", "2023-02-30", "GB82 WEST 1234 5698 7654 33", "1.2.3.4.5", "000-12-3456", "no numbers", "1111111111111111"):
-        assert pii.replaced(s) == (s, [])
+        assert replaced(s) == (s, [])
 
 
 @pytest.mark.parametrize(
@@ -737,11 +744,11 @@ def test_numbers_that_fail_their_check_stay():
 def test_valid_values_before_more_are_replaced(value, after):
     for prefix in ("", "see "):
         text = f"{prefix}{value}{after} end"
-        new, spans = pii.replaced(text)
+        new, spans = replaced(text)
         assert [(i, j) for _, i, j in spans] == [(len(prefix), len(prefix) + len(value))]
         assert value not in new and new.endswith(f"{after} end")
-        assert pii.replaced(new, back=True)[0] == text
-    assert pii.replaced("2024-05-01Top")[1] == []
+        assert replaced(new, back=True)[0] == text
+    assert replaced("2024-05-01Top")[1] == []
 
 
 @given(st.integers(0, 10**15 - 1), st.integers(0, 9999))
@@ -749,7 +756,7 @@ def test_valid_values_before_more_are_replaced(value, after):
 def test_cards_before_digits_can_be_undone(n, after):
     body = f"{n:015d}"
     text = body + next(c for c in "0123456789" if pii.luhn(body + c) == 0) + f" {after}"
-    assert pii.replaced(pii.replaced(text)[0], back=True)[0] == text
+    assert replaced(replaced(text)[0], back=True)[0] == text
 
 
 @settings(max_examples=100, deadline=None)
@@ -763,13 +770,88 @@ def test_feistel_is_a_permutation(size):
 @settings(max_examples=150, deadline=None)
 @given(st.text("0123456789-./ @+()abZ", max_size=60))
 def test_any_text_can_be_searched(t):
-    new, spans = pii.replaced(t)
+    new, spans = replaced(t)
     assert all(0 <= i < j <= len(t) for _, i, j in spans) and (spans or new == t)
 
 
+@pytest.mark.parametrize("form", ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%d.%m.%Y"])
+def test_all_dates_come_back(form):
+    import datetime
+
+    days = [pii.FIRST_DAY + datetime.timedelta(i) for i in range(0, pii.DAYS, 1 if form == "%d/%m/%Y" else 7)]
+    new = {}
+    for d in days:
+        text = d.strftime(form)
+        new[text] = replaced(text)[0]
+        assert replaced(new[text], back=True)[0] == text
+    assert len(set(new.values())) == len(new)
+
+
+def test_a_day_has_one_pseudonym_however_it_is_written():
+    iso, us, dot = (replaced(s)[0] for s in ("1987-02-28", "02/28/1987", "28.02.1987"))
+    assert iso.split("-") == [us[6:], us[:2], us[3:5]] == [dot[6:], dot[3:5], dot[:2]]
+
+
+@pytest.mark.parametrize("unit", ["a1", "a-_1", "a.", "1", ".", "a@", "1-", "A1 ", "a@a.", "12/"])
+def test_long_runs_take_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    replaced(unit * (200_000 // len(unit)) + " bob@mail.example.com")
+    assert time.perf_counter() - began < 20
+
+
+def test_users_of_one_domain_stay_together():
+    one, two, other = (replaced(s)[0] for s in ("bob@smith.example.org", "ann@smith.example.org", "bob@jones.example.org"))
+    assert one.partition("@")[2] == two.partition("@")[2] != other.partition("@")[2] and "smith" not in one
+    assert replaced("..bob@smith.org")[1] == [("email", 2, 15)]
+
+
+def plain_finds(t):
+    """Spans of personal data by another way: all substrings at word borders, tried longest first."""
+    checks = {
+        "phone": r"(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}-\d{4}",
+        "card": r"\d{16}",
+        "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
+        "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    }
+    out = []
+    for kind, pattern in checks.items():
+        for m in re.finditer(pattern, t, re.A):
+            v = m[0]
+            if kind in ("card", "ip") and ((t[m.start() - 1 : m.start()] or " ") not in " \n|,;:$%*#(" or (t[m.end() :][:1] or " ") not in " \n|,;:.$%*#)"):
+                continue
+            if kind == "card" and (sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(v))) % 10 or len(set(v)) == 1):
+                continue
+            if kind == "ip" and any(int(x) > 255 or x != str(int(x)) for x in v.split(".")):
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_spans_against_plain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = Counter()
+    for r in pii.pseudonymised(docs, KEY).collect():
+        got = {(k, int(i), int(j)) for k, i, j in (x.split(":") for x in filter(None, (r.pii_spans or "").split(",")))}
+        want = set(plain_finds(texts[r.doc_id] or ""))
+        assert want <= got, (r.doc_id, want - got)
+        seen.update(k for k, _, _ in want)
+    assert set(seen) == {"phone", "card", "ip", "email"}
+
+
+def test_key_comes_from_outside(spark, monkeypatch):
+    assert pii.key_of(spark) == pii.key_of(spark)
+    monkeypatch.setenv(pii.KEY_VARIABLE, "x")
+    told = pii.key_of(spark)
+    monkeypatch.delenv(pii.KEY_VARIABLE)
+    assert told not in (pii.key_of(spark), b"x") and "key" in __import__("inspect").signature(pii.pseudonymised).parameters
+
+
 def test_pii_over_documents(documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
-    out = pii.pseudonymised(documents)
+    out = pii.pseudonymised(documents, KEY)
     assert out.columns == [*documents.columns, "pii_spans"]
     found = 0
     for r in out.collect():
@@ -786,9 +868,9 @@ def test_pii_over_documents(documents):
 
 
 def test_pii_odd_and_empty(odd, nothing):
-    out = {r.doc_id: r for r in pii.pseudonymised(odd).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymised(odd, KEY).collect()}
     assert out[3].text is None and out[2].text == "" and out[4].text == LONG
-    assert pii.pseudonymised(nothing).count() == 0
+    assert pii.pseudonymised(nothing, KEY).count() == 0
 
 
 # --- op9 ---------------------------------------------------------------------------------------
@@ -934,7 +1016,7 @@ def test_pipeline_stage_by_stage(spark, sf, reference):
     assert set(seen["near_dedup"]) == set(groups.values())
     assert set(seen["pseudonyms"]) == set(seen["near_dedup"])
     for k, r in seen["pseudonyms"].items():
-        assert r.text == pii.replaced(seen["near_dedup"][k].text)[0] and r.n_chars == len(r.text)
+        assert r.text == pii.replaced(seen["near_dedup"][k].text, pii.key_of(spark))[0] and r.n_chars == len(r.text)
     assert set(seen["mixture"]) <= set(seen["pseudonyms"])
     for k, r in seen["encode"].items():
         assert list(r.token_ids) == reference.encode_ordinary(seen["mixture"][k].text) and r.n_tokens == len(r.token_ids)

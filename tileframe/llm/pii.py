@@ -5,33 +5,39 @@ on); a Feistel network keyed with BLAKE2 permutes the numbers below the format's
 it is inside the size and the format's own check holds again. So a card number stays a card number with a right
 check digit, a date stays a date, equal values have equal pseudonyms in all documents (but for a card or IBAN whose pseudonym
 would pass its check together with what follows), and who holds the key
-can turn them back. Numbers that fail their check (wrong check digit, octet over 255, no such day) stay as they are.
-
-Kinds: email (local part and subdomains), phone, card, iban, ssn, ip, date. Null texts stay null, empty ones
-empty; ids and other columns are not read. Repeated rows are treated each. Whole texts are searched.
+can turn them back. Numbers that fail their check (wrong check digit, octet over 255, no such day) stay as they are; phone
+numbers have no check but their format.
+
+Kinds: email (all but the last label of its domain), phone, card, iban, ssn, ip, date. A date's pseudonym falls after the twelfth of
+its month just if the date does, so that days and months can't be taken for each other and all ways to write a
+day have the same pseudonym. The key comes from the caller. Null texts stay null, empty ones
+empty; ids and other columns are not read. Repeated rows are treated each; an empty table gives an empty result. Whole texts
+are searched, in time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh
 
-KEY = b"tileframe pseudonyms"
+#: Where the key is looked for: a setting of the session, then the environment.
+KEY_SETTING, KEY_VARIABLE = "spark.tileframe.pseudonyms.key", "TILEFRAME_PSEUDONYMS_KEY"
 ROUNDS = 8
 FIRST_DAY, DAYS = date(1900, 1, 1), 73049  # to 2099-12-31
 
 #: Fixed value: what each kind looks like; the first that fits at a place wins.
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,})"
     r"|(?<![A-Za-z0-9])(?:"
     r"(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)"
     r"|(?P<phone>(?:\+1[\x20.-]?)?\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|\+1[\x20.-]?[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})"
@@ -50,6 +56,18 @@ IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
 MAY_HOLD = re.compile(r"[0-9@]")
 
 
+@lru_cache(1)
+def drawn_key() -> bytes:
+    return os.urandom(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that was set; without one a key drawn for this process, so values stay linked in it and nobody can turn
+    them back."""
+    told = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    return hashlib.blake2b(told.encode()).digest() if told else drawn_key()
+
+
 def feistel(n: int, size: int, tweak: bytes, key: bytes, back: bool = False) -> int:
     """A keyed permutation of the numbers below size; back undoes it."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
@@ -119,14 +137,15 @@ def day_of(s: str) -> tuple[date, str] | None:
 
 
 @lru_cache(100_000)
-def pseudonym(kind: str, s: str, key: bytes = KEY, back: bool = False, tails: tuple[str, ...] = ()) -> str | None:
+def pseudonym(kind: str, s: str, key: bytes, back: bool = False, tails: tuple[str, ...] = ()) -> str | None:
     """The pseudonym of a value, or None if the value fails its kind's check. A card or IBAN doesn't pass its check
     together with any of the tails that follow it, and its pseudonym won't either, so it is found again."""
     digits = re.sub("[^0-9]", "", s)
     if kind == "email":
         local, _, domain = s.partition("@")
-        *subs, name, top = domain.split(".")
-        return permuted(f"{local}@{'.'.join(subs)}", kind, key, back) + ("." if subs else "") + f"{name}.{top}"
+        labels, _, top = domain.rpartition(".")
+        other = permuted(labels, "domain", key, back)
+        return f"{permuted(local, f'{kind}:{(other if back else labels).lower()}', key, back)}@{other}.{top}"
     if kind == "phone":
         body = digits[-10:]
         return put(s, digits[:-10] + permuted(body, kind, key, back))
@@ -155,7 +174,11 @@ def pseudonym(kind: str, s: str, key: bytes = KEY, back: bool = False, tails: tu
     found = day_of(s)
     if not found:
         return None
-    return (FIRST_DAY + timedelta(feistel((found[0] - FIRST_DAY).days, DAYS, b"date:", key, back))).strftime(found[1])
+    day = found[0]
+    while True:
+        day = FIRST_DAY + timedelta(feistel((day - FIRST_DAY).days, DAYS, b"date:", key, back))
+        if (day.day > 12) == (found[0].day > 12):
+            return day.strftime(found[1])
 
 
 def shorter(kind: str, s: str) -> Iterator[tuple[int, tuple[str, ...]]]:
@@ -170,21 +193,22 @@ def shorter(kind: str, s: str) -> Iterator[tuple[int, tuple[str, ...]]]:
             most.append(x)
 
 
-def replaced(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
+def replaced(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was replaced, in code points of the text given."""
     if not text or not MAY_HOLD.search(text):
         return text, []
     out, at, spans, look = [], 0, [], 0
     while m := PATTERN.search(text, look):
-        kind, lo, hi = m.lastgroup, m.start(), m.end()
-        new = pseudonym(kind, m[0], key, back)
-        for end, tails in shorter(kind, m[0]) if new is None else ():
-            if new := pseudonym(kind, m[0][:end], key, back, tails):
+        kind = m.lastgroup
+        value, lo, hi = m[kind], m.start(kind), m.end()
+        new = pseudonym(kind, value, key, back)
+        for end, tails in shorter(kind, value) if new is None else ():
+            if new := pseudonym(kind, value[:end], key, back, tails):
                 hi = lo + end
                 break
         if new is None:
             # What fails as one kind may hold another: look again behind its first run of letters and digits.
-            look = lo + max(1, len(re.match("[A-Za-z0-9]*", m[0])[0]))
+            look = lo + max(1, len(re.match("[A-Za-z0-9]*", value)[0]))
             continue
         out += [text[at:lo], new]
         spans.append((kind, lo, hi))
@@ -192,8 +216,8 @@ def replaced(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[st
     return "".join(out) + text[at:], spans
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with the text replaced, and its spans 'kind:start:end' of the former text, comma-joined, in a column pii_spans."""
+def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """docs with the text replaced under the key, and its spans 'kind:start:end' of the former text, comma-joined, in a column pii_spans."""
     bounded_batches(docs.sparkSession)
     (name,) = fresh(docs, "pii_spans")
     at = docs.columns.index(text)
