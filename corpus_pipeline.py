@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts become pseudonyms of the same format; n_chars follows the new text."""
-    out = pii.pseudonymised(docs).select(*docs.columns)
+    out = pii.pseudonymised(docs, pii.key_of(spark)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
