@@ -550,6 +550,32 @@ def test_any_utf8_is_a_layer(odd):
         assert {k for k, *_ in secrets.all_spans(b64(raw))[1]} >= {"assign", "access", "hex"}
 
 
+def test_layers_are_decoded_around_bad_parts():
+    secret = "password=abcdefghijkl1234"
+    spans = lambda text: {s for s in secrets.all_spans(text)[1] if s[0] == "assign"}
+    url = "".join(f"%{c:02X}" for c in secret.encode())
+    assert ("assign", 3, 3 + len(url)) in spans("%FF" + url) and ("assign", 0, len(url)) in spans(url + "%FF%C3")
+    uni = "".join(f"\\u{ord(c):04x}" for c in secret)
+    assert ("assign", 6, 6 + len(uni)) in spans("\\ud800" + uni) and ("assign", 0, len(uni)) in spans(uni + "\\udc00")
+    assert ("assign", 12, 12 + len(uni)) in spans("\\ud83d\\ude00" + uni)
+    assert spans(b64(b"\0" + secret.encode())) and spans(b64(b"some words and " + secret.encode() + b" \xff caf\xe9"))
+    assert spans(b64(gzip.compress(b"one two") + gzip.compress(secret.encode()))) and spans(b64(gzip.compress(b"\xe9\xe8 " + secret.encode())))
+    for raw in (secret.encode(), (secret + " and more words behind it").encode()):
+        whole = b64(raw)
+        for eol in ("\n", "\r\n"):
+            text = f"see {eol}{whole[:24]}{eol}{whole[24:]}{eol}end"
+            (span,) = spans(text)
+            assert 4 <= span[1] < span[2] <= len(text) - 3 and text[span[1] : span[2]].replace(eol, "") in whole
+    folded = base64.encodebytes(("plain words first, " * 9 + secret).encode()).decode()
+    assert spans(folded)
+
+
+def test_plain_words_are_no_layers():
+    assert secrets.from_base64("internationalization") is None
+    t = "a" * 100_000 + "\n" + "b" * 100_000
+    assert secrets.all_spans(t)[0] == secrets.scan(t)
+
+
 def test_what_unpacks_to_much_is_scanned():
     wrapped = b64(gzip.compress(b"ab cd " * 2_000_000 + SECRET.encode() + b" ab cd" * 2_000_000))
     spans = secrets.all_spans(f"see {wrapped} end")[1]
