@@ -1004,6 +1004,105 @@ def test_html_odd_tags():
         assert html.main_text(page, None) == want, page
 
 
+def test_wrappers_of_the_page_stay():
+    article = "<h1>Head</h1><p>%s</p><p>End.</p>" % ("An article, with its own words. " * 20)
+    want = "Head\n\n" + ("An article, with its own words. " * 20).strip() + "\n\nEnd."
+    comments = '<section class="comments"><p>%s</p></section>' % ("I disagree with it all. " * 40)
+    sides = '<nav><a href="/">Home</a></nav><div class="sidebar"><p>Also read this here.</p></div><footer><p>Foot of it</p></footer>'
+    for page in (
+        '<body><form id="aspnetForm">%s</form></body>',
+        '<body><div class="page related-layout">%s</div></body>',
+        '<body><form><div class="widget"><div class="story">%s</div></div></form></body>',
+        '<body>%s</body>',
+        '<body><div class="story">%s</div></body>',
+    ):
+        assert html.main_text(page % article, None) == want, page
+        assert html.main_text(page % (article + comments + sides), None) == want, page
+        assert html.main_text((page % article).replace("</body>", comments + sides + "</body>"), None) == want, page
+    related = '<div class="story"><p>%s</p></div><div class="related"><p>%s</p></div>' % ("Short, but the article. " * 9, "Much more of a teaser. " * 30)
+    assert html.main_text(related, None) == ("Short, but the article. " * 9).strip()
+    assert html.main_text("<nav><p>Only a menu here</p></nav>", None) == ""
+
+
+@pytest.mark.parametrize("open_tag", ["<div class='a b1'>", "<b>", "<p><b>", "<li><span>", "<form>", "<div><p>x"])
+def test_deep_pages_take_linear_time(open_tag):
+    import time
+
+    began = time.perf_counter()
+    text = html.main_text(open_tag * 100_000 + "words of it", None)
+    assert time.perf_counter() - began < 30 and text.endswith("words of it")
+
+
+def plain_page(rng):
+    """A page as a tree: (tag, class, children), children being trees or texts."""
+
+    def tree(level):
+        if level == 4 or rng.random() < 0.3:
+            return ("p", "", [rng.choice(["Some words, that stand here. ", "More of it. ", "x ", "A longer line, with commas, and more of them. "]) * rng.randrange(1, 6)])
+        return (rng.choice(["div", "section", "article"]), rng.choice(["", "story", "box 12", "box 7", "wide", "sidebar"]), [tree(level + 1) for _ in range(rng.randrange(1, 4))])
+
+    return ("body", "", [tree(1) for _ in range(rng.randrange(1, 4))])
+
+
+def written(tree):
+    if isinstance(tree, str):
+        return tree
+    tag, names, children = tree
+    return f"<{tag}" + (f' class="{names}"' if names else "") + ">" + "".join(map(written, children)) + f"</{tag}>"
+
+
+def plain_extract(pages):
+    """Scores, votes and extraction from the definition, every block against all its ancestors."""
+    boxes = {"article", "main", "section", "div", "td", "body", "center"}
+
+    def blocks_of(tree, above):
+        tag, names, children = tree
+        step = tag + ("." + ".".join(sorted({re.sub(r"\d+", "#", n) for n in names.split()})) if names else "")
+        here = [*above, (id(tree), tag, names, step)]
+        for c in children:
+            if isinstance(c, str):
+                yield here, " ".join(c.split())
+            else:
+                yield from blocks_of(c, here)
+
+    def best(found):
+        scores = {}
+        for above, text in found:
+            worth = len(text) + (min(text.count(",") + text.count("."), 20) if len(text) > 40 else 0)
+            share = 1.0
+            for depth in range(len(above), 0, -1):
+                key, tag, names, _ = above[depth - 1]
+                if tag in boxes:
+                    good = 1.3 if tag == "article" or names == "story" else 1.0
+                    at = scores.setdefault(key, [0.0, depth, "/" + "/".join(x[3] for x in above[:depth])])
+                    at[0] += worth * share * good
+                    share *= 0.8
+            at = scores.setdefault(0, [0.0, 0, ""])
+            at[0] += worth * share
+        return max(scores.items(), key=lambda x: (round(x[1][0], 9), x[1][1])) if scores else None
+
+    found = [[(a, t) for a, t in blocks_of(p, []) if not any(x[2] == "sidebar" and x[1] != "article" for x in a)] for p in pages]
+    tops = [best(f) for f in found]
+    votes = Counter(t[1][2] for t in tops if t)
+    winner = max(votes, key=lambda v: (votes[v], v))
+    out = []
+    for f, t in zip(found, tops, strict=True):
+        own = [x for a, x in f if winner and any("/" + "/".join(y[3] for y in a[:d]) == winner for d in range(1, len(a) + 1))]
+        out.append("\n\n".join(own or [x for a, x in f if t and (t[0] == 0 or any(y[0] == t[0] for y in a))]))
+    return out
+
+
+def test_html_consensus_against_plain(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for host in range(12):
+        pages = [plain_page(rng) for _ in range(rng.randrange(1, 9))]
+        for k, (page, text) in enumerate(zip(pages, plain_extract(pages), strict=True)):
+            want[host * 100 + k] = text
+            rows.append((host * 100 + k, f"http://h{host}.example/{k}", written(page)))
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(want) > 30 and {k: got[k] for k in want} == want
+
+
 def test_html_consensus_overrules_an_odd_page(spark):
     other = '<body><div class="story"><p>Short.</p></div><div class="more"><p>%s</p></div></body>' % ("Long words of a teaser, and more of them. " * 9)
     rows = [(i, "http://h.example/a", '<body><div class="story"><p>%s</p></div><div class="more"><p>x</p></div></body>' % ("Real text, as it is. " * 9)) for i in range(4)] + [(7, "http://h.example/b", other)]
