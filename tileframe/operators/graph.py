@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, stored
+from ..storage import dropped, shared_dir, stored
 
 #: A pixel's number is y * WIDE + x.
 WIDE = 1 << 31
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 40, folder: str | None = None) -> DataFrame:
     """(node, root) for every node of an edge (a, b); root is the least node of its component.
 
     Rounds of large star and small star: neighbours above a node are pointed at its least neighbour, then those
     below. A round is a partial aggregation and a join on the node, kept as a table in the shared folder, and the
-    rounds end when the edges repeat; their number grows with the logarithm of a component's length.
+    rounds end when the edges repeat; their number grows with the logarithm of a component's length. Each round's table takes
+    the place of the one before; the last is in `folder` (a new one, if not given) until the caller drops it.
     """
-    path = shared_dir(edges.sparkSession)
+    path = folder or shared_dir(edges.sparkSession)
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/0")
     before = None
     for k in range(1, most_rounds + 1):
@@ -28,6 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
         now = stored(small, f"{path}/{k}")
+        dropped(edges.sparkSession, f"{path}/{k - 1}")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
