@@ -2,21 +2,25 @@
 
 Token counts are summed to cells (source, language, topic); sources, languages and topics outside the targets
 share the cell name OTHER, so the number of cells is bounded by the targets whatever the input. Raking rescales
-the cells' weights to each marginal in turn until all fit. A document's inclusion probability is its cell's
+the cells' weights to each marginal in turn until all fit; targets that no weights fit are told of by a warning. A document's inclusion probability is its cell's
 weight times a factor that brings the expected number of kept tokens to `keep` of all, at most 1. It stays if
 a uniform number derived from its id by MD5 is below that, so runs repeat and a document's fate doesn't depend
 on partitions. Rows with the same id share the number.
 
 Null texts count no tokens; null ids are drawn as the text 'null'; null sources and languages are OTHER.
-Targets of categories without tokens are spread over the others. An empty table gives an empty result.
+Targets of categories without tokens are spread over the others. An empty table gives an empty result. A topic is told by the
+licence that a text names and by its length, as the tables have no other sign of one.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, shared_dir, stored
+from .common import SPACE, fresh
 
 OTHER = "other"
 #: Production targets, shares of tokens.
@@ -52,22 +56,19 @@ def lookup(c: Column, values: dict[str, float]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), c), F.lit(0.0)) if pairs else F.lit(0.0)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
-    """Factors for each dimension and category by iterative proportional fitting.
-
-    cells: one column for each key of targets, and tokens. Each step sums the weighted cells over one dimension and
-    rescales its factors; what comes to the driver is a row for each category."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+def rake(cells: list[tuple[tuple[str, ...], float]], targets: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
+    """Factors for each dimension and category by iterative proportional fitting of cells: a category of each dimension of
+    targets, and tokens. Each step sums the weighted cells over one dimension and rescales its factors."""
+    total = sum(n for _, n in cells)
     factors = {d: dict.fromkeys(t, 1.0) for d, t in targets.items()}
-    if not total:
-        return factors
-    for _ in range(ROUNDS):
+    worst = 0.0
+    for _ in range(ROUNDS if total else 0):
         worst = 0.0
-        for d, target in targets.items():
-            weight = F.col("tokens").cast("double")
-            for e in targets:
-                weight = weight * lookup(F.col(e), factors[e])
-            now = {r[0]: r[1] for r in cells.groupBy(d).agg(F.sum(weight)).collect()}
+        for at, (d, target) in enumerate(targets.items()):
+            now: dict[str, float] = {}
+            for cell, n in cells:
+                weight = n * math.prod(factors[e].get(k, 0.0) for e, k in zip(targets, cell, strict=True))
+                now[cell[at]] = now.get(cell[at], 0.0) + weight
             present = sum(target.get(k, 0.0) for k, v in now.items() if v)
             for k, v in now.items():
                 if v and present:
@@ -76,6 +77,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str, di
                     factors[d][k] *= want / v
         if worst < CLOSE:
             break
+    if worst >= 1e-6:
+        warnings.warn(f"no weights fit all targets; the worst is off by a share of {worst:.2g}", stacklevel=2)
     return factors
 
 
@@ -93,14 +96,15 @@ def weighted(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None
         top: topic_of(F.col(text).cast("string"), F.col(tok)),
     })
     cells = rows.groupBy(F.col(src).alias("source"), F.col(lng).alias("lang"), F.col(top).alias("topic")).agg(F.sum(tok).alias("tokens"))
-    cells = stored(cells.coalesce(1), f"{shared_dir(docs.sparkSession)}/cells")
-    factors = rake(cells, targets)
+    # A row for each cell, whose number the targets bound.
+    found = sorted(((r.source, r.lang, r.topic), float(r.tokens or 0)) for r in cells.collect())
+    factors = rake(found, targets)
+    weights = [(n, math.prod(factors[d].get(k, 0.0) for d, k in zip(targets, cell, strict=True))) for cell, n in found]
     product = lambda names: lookup(F.col(names[0]), factors["source"]) * lookup(F.col(names[1]), factors["lang"]) * lookup(F.col(names[2]), factors["topic"])
 
-    weights = cells.withColumn("w", product(("source", "lang", "topic")))
-    total, scale = float(weights.agg(F.sum("tokens")).first()[0] or 0), keep
+    total, scale = sum(n for n, _ in weights), keep
     for _ in range(SCALINGS):  # the tokens of cells whose probability would exceed 1 are made up for by the others
-        got = weights.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(scale) * F.col("w")))).first()[0] or 0.0
+        got = sum(n * min(1.0, scale * w) for n, w in weights)
         if not got or abs(got - keep * total) <= 1e-13 * total or scale > 1e9:
             break
         scale *= keep * total / got
