@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..storage import shared_dir, stored
+from ..storage import dropped, shared_dir, stored
 
-__all__ = ["SPACE", "WORD", "bounded_batches", "components", "frequent", "fresh", "hex64", "shared_dir", "stored", "words_of"]
+__all__ = ["SPACE", "WORD", "bounded_batches", "components", "dropped", "frequent", "fresh", "hex64", "shared_dir", "stored", "words_of"]
 
 #: ASCII white space of the word contract, as a Java class and as its complement.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, components, fresh, hex64, shared_dir, stored, words_of
+from .common import WORD, bounded_batches, components, dropped, fresh, hex64, shared_dir, stored, words_of
 
 SEED = 42
 #: Choices of how many groups agree. A count of two bits holds 1.5 bits of information, so m of r + m groups name 2^(48 m / (r + m)) cells.
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str
     folder = shared_dir(docs.sparkSession)
     prints = stored(fingerprints(docs, words, text, key), f"{folder}/prints")
     edges = stored(links(prints, radius), f"{folder}/edges")
-    roots = components(edges)
+    roots = components(edges, folder=f"{folder}/roots")
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     named = stored(with_least(least, roots, "fp", "component_id", folder), f"{folder}/named")
     return prints.join(named, "fp").select(key, hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -284,7 +284,7 @@ def crowded(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa
         cell, same = cell[upto:], same[upto:]
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
     """(key, group) for every row: texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity` share a group, named by the least key in it. Rows with the same words always share one.
     Null or empty texts are alone each, as they have nothing to be copies of. Ties go to the lesser key; an empty table
@@ -294,11 +294,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     `links` at three bits, and cells of equal minima of shingle hashes. In a block of a cell a maximum spanning forest of
     estimated similarity is kept, and each member's nearest others, so at most four edges a member; each edge is
     then verified over whole texts. Cells in which members remain that no verified edges connect are decided exactly: by a
-    join on prefixes of their members' shingles, rare ones first, so that what a crowd shares leads nowhere.
+    join on prefixes of their members' shingles, rare ones first, so that what a crowd shares leads nowhere. The result reads
+    tables in `folder` (a new one, if not given); those that only steps before it needed are dropped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder = shared_dir(spark)
+    folder = folder or shared_dir(spark)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,11 +374,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
     left = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a")
     sides = left.join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     edges = stored(sides.mapInArrow(verify, "a long, b long"), f"{folder}/edges")
-    roots = stored(components(edges), f"{folder}/roots")
+    roots = components(edges, folder=f"{folder}/roots")
+    for done in ("pairs", "members", "texts"):
+        dropped(spark, f"{folder}/{done}")
 
     # Members of the cells that hold several components still; cells so small that all their pairs were candidates are done.
     placed = crowd.select("cell", "same").distinct().join(roots.withColumnRenamed("node", "same"), "same", "left").select("cell", "same", F.coalesce("root", "same").alias("root"))
     placed = stored(placed, f"{folder}/placed_in_cells")
+    dropped(spark, f"{folder}/crowd")
     still = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other"))
     still = stored(still.where((F.col("n") > NEAREST + 1) & (F.col("one") != F.col("other"))).select("cell"), f"{folder}/still")
     if not still.isEmpty():
@@ -385,7 +389,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tex
         sets = stored(texts_of(asked, "asked_ids").mapInArrow(shingled, "same long, size long, hashes array<long>"), f"{folder}/sets")
         more = exact_pairs(sets.join(asked, "same"), similarity, folder)
         if not more.isEmpty():
-            roots = components(edges.union(more))
+            roots = components(edges.union(more), folder=f"{folder}/more_roots")
+        for done in ("placed_in_cells", "still", "asked", "asked_ids", "sets", "shared", "found"):
+            dropped(spark, f"{folder}/{done}")
     least = kinds.select("same", F.col("more").alias("of"), F.col("id").alias("least"))
     named = stored(with_least(least, roots, "same", "group", folder), f"{folder}/named")
     own = sketches.select("id", "same", "more").join(named, "same", "left")
@@ -436,7 +442,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, text:
     Rows with a null key or without a word all stay. An empty table gives an empty result."""
     folder = shared_dir(docs.sparkSession)
     gone, twice = fresh(docs, "gone", "twice")
-    groups = stored(similar_groups(docs, words, similarity, text, key), f"{folder}/groups")
+    groups = stored(similar_groups(docs, words, similarity, text, key, f"{folder}/steps"), f"{folder}/groups")
+    dropped(docs.sparkSession, f"{folder}/steps")
     of = docs[key].cast("long")
     drop = groups.where(F.col("group") < F.col(key)).select(F.col(key).alias(gone)).distinct()
     again = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(twice)).count().where("count > 1").select(twice)
