@@ -675,6 +675,58 @@ def test_quality_against_plain(documents):
         assert not (r.base_failed and r.kept)
 
 
+def plain_histograms(text, common):
+    """Shares of character classes and of common words, by counting one by one."""
+    kinds = Counter()
+    for c in text:
+        known = ord(c) < 0x2FFF
+        kinds["space" if known and c.isspace() else "mark" if c in quality.MARKS else "symbol" if c in "#*$%&|<>" else "upper" if known and c.isupper() else "lower" if known and c.isalpha() else "digit" if known and c.isdigit() else "other"] += 1
+    bare = [x for x in (w.strip(".,;:!?()\"'#*$%&|<>") for w in text.lower().split()) if x]
+    own = Counter(w if w in common else None for w in bare)
+    return {k: n / len(text) for k, n in kinds.items()}, {w: n / len(bare) for w, n in own.items()}, len(bare)
+
+
+def plain_divergence(p, q):
+    keys = set(p) | set(q)
+    norm = lambda h: {k: h.get(k, 0) / sum(h.values()) for k in keys}
+    p, q = norm(p), norm(q)
+    part = lambda a: sum(a[k] * math.log2(a[k] / ((p[k] + q[k]) / 2)) for k in keys if a[k])
+    return math.sqrt(max(0, part(p) + part(q)) / 2)
+
+
+def test_quality_verdict_against_plain(documents):
+    rows = {r.doc_id: r for r in documents.collect()}
+    held = {k: [] for k in quality.COMMON}
+    for r in rows.values():
+        t = r.text or ""
+        if r.lang in held and len(t) >= 120 and not plain_quality(t)[-1]:
+            chars, common, n = plain_histograms(t, quality.COMMON[r.lang])
+            if n >= 25:
+                held[r.lang].append((int((1 - common.get(None, 0)) * 63), chars, common))
+    refs = {}
+    for k, own in held.items():
+        n, bins = len(own), Counter(b for b, *_ in own)
+        lo, hi, sums = 0.25 * n, 0.95 * n, (Counter(), Counter())
+        for b in sorted(bins):
+            below = sum(m for c, m in bins.items() if c < b)
+            share = max(0, min(below + bins[b], hi) - max(below, lo)) / bins[b]
+            for c, *parts in own:
+                for total, part in zip(sums, parts, strict=True):
+                    total.update({x: v * share for x, v in part.items()} if c == b else {})
+        refs[k] = sums
+    for r in quality.judged(documents, keep=["doc_id"])[0].collect():
+        t, failed = rows[r.doc_id].text or "", plain_quality(rows[r.doc_id].text)[-1]
+        far = (0.0, 0.0)
+        if len(t) >= 120:
+            langs = [rows[r.doc_id].lang] if rows[r.doc_id].lang in refs else list(refs)
+            found = [(plain_histograms(t, quality.COMMON[k]), refs[k]) for k in langs]
+            if found[0][0][2] >= 25:
+                far = min(((plain_divergence(h[0], ref[0]), plain_divergence(h[1], ref[1])) for h, ref in found), key=sum)
+        assert math.isclose(r.char_distance, far[0], abs_tol=1e-9) and math.isclose(r.word_distance, far[1], abs_tol=1e-9)
+        limits = (quality.CHAR_LIMIT[0] + quality.CHAR_LIMIT[1] / max(len(t), 1) ** 0.5, quality.WORD_LIMIT[0] + quality.WORD_LIMIT[1] / max(r.n_words, 1) ** 0.5)
+        assert r.kept == (not failed and far[0] <= limits[0] and far[1] <= limits[1])
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,9 +1,11 @@
 """Quality rules: repetition and length as given, then divergence from language references.
 
 A text's histogram of character classes and its histogram of the common words of its language are compared to
-the references of that language, which are the mean histograms of all texts of the language in the input, by
+the references of that language, which are mean histograms of the texts of the language in the input, by
 the Jensen-Shannon distance (base 2, from 0 to 1). A text that is too short for a stable histogram is not judged
 by it (`MIN_CHARS`, `MIN_WORDS`). Texts of an unknown or null language are held against the nearest reference.
+References are made of texts that pass the base rules, and without those that hold least and most of the common words
+(`LEAST_COMMON`, `MOST_COMMON`), so that junk hardly moves them.
 
 Null and empty texts have no words and fail the base rule. Ids are not read. An empty table has no references
 and no rows. Repeated rows are judged each. Whole texts are read.
@@ -34,6 +36,8 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other")
 MIN_CHARS, MIN_WORDS = 120, 25
 #: Limits of the distances for a very long text, and what short ones may have on top, over the root of their length.
 CHAR_LIMIT, WORD_LIMIT = (0.13, 1.5), (0.27, 1.4)
+#: Shares of a language's texts, by how many of their words are common, that take no part in its references, and bins of that.
+LEAST_COMMON, MOST_COMMON, BINS = 0.25, 0.05, 64
 WINDOW = 8
 SPACES = "\x20\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +108,11 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated(words)
 
 
+def fails(n_words: int, n_repeat_words: int) -> bool:
+    """The base rule."""
+    return n_words < 20 or 100 * n_repeat_words > 30 * n_words
+
+
 def repeated(words: list[bytes]) -> int:
     """Words in windows of WINDOW words that occur twice or more."""
     if len(words) <= WINDOW:
@@ -134,29 +143,40 @@ def repeated(words: list[bytes]) -> int:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each language of COMMON, the mean histograms over all its texts that are long enough: characters, common words.
+    """For each language of COMMON, the mean histograms over its texts that are long enough, pass the base rule and aren't
+    at the ends by their share of common words: characters, common words.
 
-    Each partition adds up its own; what comes back is a row for each language and place, whatever the input's size."""
+    Each partition adds up its own by bins of that share; what comes back is a row for each language, bin and place,
+    whatever the input's size."""
     bounded_batches(docs.sparkSession)
-    langs = list(COMMON)
+    langs, wide = list(COMMON), len(CLASSES) + N_COMMON + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = class_table(), {k: np.zeros(len(CLASSES) + N_COMMON + 1) for k in langs}
+        table, sums = class_table(), {k: np.zeros((BINS, wide)) for k in langs}
         for b in batches:
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t and k in sums and len(t) >= MIN_CHARS:
                     seen = bare_words(t)
-                    if seen.total() >= MIN_WORDS:
+                    if seen.total() >= MIN_WORDS and not fails(len(words := t.encode().split()), repeated(words)):
                         c, w = char_counts(t, table), word_counts(seen, COMMON[k])
-                        sums[k] += np.r_[c / c.sum(), w / w.sum()]
-        full = [(k, i, v) for k in langs for i, v in enumerate(sums[k].tolist()) if v]
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in full], t) for j, t in enumerate((pa.string(), pa.int32(), pa.float64()))], ["lang", "place", "n"])
+                        sums[k][int((1 - w[-1] / w.sum()) * (BINS - 1))] += np.r_[c / c.sum(), w / w.sum()]
+        full = [(k, i, j, float(sums[k][i, j])) for k in langs for i, j in zip(*np.nonzero(sums[k]), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in full], t) for n, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.float64()))], ["lang", "bin", "place", "n"])
+
+    out = {k: np.zeros((BINS, wide)) for k in langs}
+    rows = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(run, "lang string, bin int, place int, n double")
+    for r in rows.groupBy("lang", "bin", "place").agg(F.sum("n").alias("n")).collect():
+        out[r.lang][r.bin, r.place] = r.n
+    return {k: (v[: len(CLASSES)], v[len(CLASSES) :]) for k, v in ((k, trimmed(v)) for k, v in out.items()) if v.any()}
+
 
-    out = {k: np.zeros(len(CLASSES) + N_COMMON + 1) for k in langs}
-    rows = docs.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(run, "lang string, place int, n double")
-    for r in rows.groupBy("lang", "place").agg(F.sum("n").alias("n")).collect():
-        out[r.lang][r.place] = r.n
-    return {k: (v[: len(CLASSES)], v[len(CLASSES) :]) for k, v in out.items() if v.any()}
+def trimmed(sums: np.ndarray) -> np.ndarray:
+    """The sum over bins of rows without the shares at both ends; a row's characters add up to 1 for each text in it."""
+    n = sums[:, : len(CLASSES)].sum(1)
+    upto = np.cumsum(n)
+    lo, hi = LEAST_COMMON * upto[-1], (1 - MOST_COMMON) * upto[-1]
+    inside = np.clip(np.minimum(upto, hi) - np.maximum(upto - n, lo), 0, None)
+    return (inside / np.maximum(n, 1e-300)) @ sums
 
 
 def distances(text: str | None, lang: str | None, refs: dict, table: np.ndarray) -> tuple[float, float]:
@@ -193,7 +213,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[s
             rows = []
             for t, k in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 n = base_counts(t)
-                failed = n[0] < 20 or 100 * n[4] > 30 * n[0]
+                failed = fails(n[0], n[4])
                 far = distances(t, k, refs, table)
                 rows.append((*n, failed, *far, not failed and not far_off(far, len(t), n[0])))
             kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
