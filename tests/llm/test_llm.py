@@ -184,8 +184,7 @@ def plain_signatures(text):
     return out or {xxhash.xxh64_intdigest(text.encode(), 42) & 0x7FFFFFFF}
 
 
-def test_spotsigs_against_plain(spark, documents, monkeypatch):
-    monkeypatch.setattr(spotsigs, "ROWS_A_BUCKET", 17)
+def test_spotsigs_against_plain(spark, documents):
     rows = {r.doc_id: r for r in spotsigs.edited_likeness(documents).collect()}
     texts = {r.doc_id: r.text for r in documents.collect()}
     ids = sorted(texts)
@@ -201,8 +200,21 @@ def test_spotsigs_against_plain(spark, documents, monkeypatch):
         assert math.isclose(r.near_edited, jaccard(a, b)) and math.isclose(r.near_next, jaccard(a, c))
 
 
-def test_spotsigs_odd_and_empty(odd, nothing, monkeypatch):
-    monkeypatch.setattr(spotsigs, "ROWS_A_BUCKET", 2)
+def test_spotsigs_of_repeated_ids_and_rows(spark):
+    rows = [(1, "one of the first"), (1, "one of the first"), (1, "two of the first"), (None, "no id"), (None, "no id"), (None, None), (2, "last of all texts"), (1, "one of the first")]
+    got = spotsigs.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    hashes = {t: spark.sql(f"select xxhash64('{t or ''}') h").first().h for _, t in rows}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = Counter()
+    for (k, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        t, u = t or "", u or ""
+        h = len(t) // 2
+        want[k, hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_spotsigs_odd_and_empty(odd, nothing):
     got = spotsigs.edited_likeness(odd).collect()
     assert len(got) == odd.count()
     assert len({r.fingerprint for r in got if r.doc_id in (0, 1)}) == 1

@@ -4,11 +4,13 @@ An anchor is a common word of one of four languages; of anchors in a row the las
 words that are not anchors it forms a signature; a text's fingerprint is its set of signatures, ascending,
 each as 31 bits of XXH64. Two sets can only be alike to a degree of `floor` if the smaller has at least
 that share of the larger one's size: sets are put in partitions by the logarithm of their size to that base,
-and only those of equal or neighbouring partitions that pass the test are compared; others count as 0.
+and only those of equal or neighbouring partitions that pass the test are compared; others count as 0. Here each text is
+compared with two given ones, so the partitions prune comparisons and no search.
 
 A text without signatures has one for each word, a text without words one for the whole text. Null texts are
 empty texts. The next document follows in the order of ids, nulls first, equal ids by the hash of their texts;
-repeated rows follow each other. An empty table gives an empty result. Column expressions only.
+repeated rows follow each other. An empty table gives an empty result. Column expressions only. Neither many rows of one id,
+or without one, nor many repeated ones meet in a task: order is by ranges of id and hash, and repeated rows are counted.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir, stored
+
 #: Anchors.
 ANCHORS = (
     "the of and to in a is that for it as was with be by on not this are or from at which but have an they you were all we can has there been if when who so no "
@@ -26,7 +30,6 @@ ANCHORS = (
     "el los las y en por con del su al lo como más pero sus"
 ).split()
 FLOOR = 0.05
-ROWS_A_BUCKET, MOST_BUCKETS = 2000, 10_000
 
 
 def signatures(text: Column) -> Column:
@@ -70,37 +73,53 @@ def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
     return F.when(near, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
 
 
-def with_next(rows: DataFrame, key: str, tie: str, more: dict[str, Column], carried: list[str]) -> DataFrame:
-    """rows with the columns `more`, and a column next_<c> for each carried one: its value in the row that follows by
-    (key, tie), the first for the last. Rows are dealt to ranges of the key; each range also gets the first row of the
-    range behind it. The columns `more` are made after that, so for lent rows and not for all rows once again."""
-    n = rows.count()
-    cuts = min(MOST_BUCKETS, max(1, n // ROWS_A_BUCKET))
-    edges = (rows.agg(F.percentile_approx(key, [i / cuts for i in range(1, cuts)], 10 * cuts)).first()[0] or []) if cuts > 1 else []
-    bounds = F.array(*(F.lit(x) for x in sorted(set(edges)))) if edges else None
-    place = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col(key))), F.lit(0)) if edges else F.lit(0)
-    dealt = rows.withColumn("bucket", F.when(F.col(key).isNull(), 0).otherwise(place)).withColumn("lent", F.lit(0))
-    firsts = [(r[0], r[1][0], r[1][1]) for r in dealt.groupBy("bucket").agg(F.min(F.struct(F.struct(F.col(key).isNotNull().alias("z"), F.col(key).alias("k")).alias("o"), F.col(tie).alias("t"))).alias("m")).select("bucket", F.struct("m.o.k", "m.t")).orderBy("bucket").collect()]
-    ring = [(firsts[i - 1][0], k, t) for i, (_, k, t) in enumerate(firsts)]
-    spark = rows.sparkSession
-    lenders = F.broadcast(spark.createDataFrame(ring, f"to_bucket int, lend_key {dict(rows.dtypes)[key]}, lend_tie long"))
-    lent = dealt.join(lenders, F.col(key).eqNullSafe(F.col("lend_key")) & (F.col(tie) == F.col("lend_tie")))
-    lent = lent.withColumn("bucket", F.col("to_bucket")).withColumn("lent", F.lit(1)).select(dealt.columns)
-    order = Window.partitionBy("bucket").orderBy("lent", F.col(key).asc_nulls_first(), tie)
-    return dealt.union(lent).withColumns(more).withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("lent = 0").drop("bucket", "lent")
+#: What orders documents: whether there is an id, the id, the hash of the text.
+ORDER = ["known", "id", "tie"]
+
+
+def followers(light: DataFrame, folder: str) -> DataFrame:
+    """For each of the distinct texts (ORDER, half) the one that it follows, first_<c> for c in ORDER, and how many
+    characters that one's last half has; the first text follows the last.
+
+    Only ids, hashes and lengths are dealt out, to ranges; each range is put in order on its own, and its last text is
+    followed by the first of the next range. What comes to the driver is a row for each range."""
+    dealt = stored(light.repartitionByRange(*ORDER).withColumn("bucket", F.spark_partition_id()), f"{folder}/order")
+    lasts = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.max(F.struct(*ORDER, "half")).alias("m")).select("bucket", "m.*").collect())
+    ring = [(b, *lasts[i - 1][1:]) for i, (b, *_) in enumerate(lasts)]
+    before = F.lag(F.struct(*ORDER, "half")).over(Window.partitionBy("bucket").orderBy(*ORDER))
+    ends = light.sparkSession.createDataFrame(ring, "bucket int, known int, id long, tie long, half int").select("bucket", F.struct(*ORDER, "half").alias("end"))
+    joined = dealt.withColumn("before", before).join(ends, "bucket").withColumn("m", F.coalesce("before", "end"))
+    return joined.select(*ORDER, *(F.col(f"m.{c}").alias(f"first_{c}") for c in ORDER), F.col("m.half").alias("first_half"))
 
 
 def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", floor: float = FLOOR) -> DataFrame:
     """For each row: its fingerprint, the fingerprint of its edited text (the last half replaced by the beginning of
     the next document), and how like its own the latter and the next document's are."""
-    rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    rows = rows.withColumn("tie", F.xxhash64("body"))
-    pairs = with_next(rows, key, "tie", {"signs": all_signatures(F.col("body"))}, ["body", "signs"])
-    n = F.length("body")
-    half = F.floor(n / 2).cast("int")
-    pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), n - half), F.substring(F.col("next_body"), F.lit(1), half)))
+    folder = shared_dir(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = rows.select(F.col("id").isNotNull().cast("int").alias("known"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("body").alias("tie"), "body")
+    texts = rows.groupBy(*ORDER).agg(F.first("body").alias("body"), F.count("*").alias("times"))
+    light = rows.groupBy(*ORDER).agg(F.first(F.floor(F.length("body") / 2).cast("int")).alias("half"))
+    # Each text lends its beginning and its signatures to the one before it. Its times come along, so that both sides of the
+    # join below read the same exchange of texts.
+    lent = texts.join(followers(light, folder).hint("merge"), ORDER)
+    lent = lent.select(*(F.col(f"first_{c}").alias(c) for c in ORDER), F.col("times").alias("next_times"), F.expr("substring(body, 1, first_half)").alias("next_part"), all_signatures(F.col("body")).alias("next_signs"))
+    pairs = texts.join(lent.hint("merge"), ORDER).withColumn("signs", all_signatures(F.col("body"))).withColumn("n", F.length("body"))
+    pairs = pairs.withColumn("half", F.floor(F.col("n") / 2).cast("int"))
+    # Of repeated rows all but the last are followed by themselves.
+    own = F.struct(F.expr("substring(body, 1, half)").alias("part"), F.col("signs").alias("signs"), (F.col("times") - 1).alias("times"))
+    last = F.struct(F.col("next_part").alias("part"), F.col("next_signs").alias("signs"), F.least(F.col("next_times"), F.lit(1)).cast("long").alias("times"))
+    pairs = pairs.withColumn("then", F.explode(F.when(F.col("times") > 1, F.array(own, last)).otherwise(F.array(last))))
+    pairs = pairs.select(
+        F.when(F.col("known") == 1, F.col("id")).alias(key),
+        F.col("n").cast("long").alias("n_chars"),
+        F.concat(F.expr("substring(body, 1, n - half)"), F.col("then.part")).alias("edited"),
+        "signs",
+        F.col("then.signs").alias("next_signs"),
+        F.col("then.times").alias("times"),
+    )
     pairs = pairs.withColumn("edited_signs", all_signatures(F.col("edited")))
-    return pairs.select(
+    done = pairs.select(
         key,
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -108,4 +127,6 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", fl
         shown(F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs"), floor).alias("near_edited"),
         likeness(F.col("signs"), F.col("next_signs"), floor).alias("near_next"),
+        "times",
     )
+    return done.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("again", "times")
