@@ -1,12 +1,14 @@
 """Byte-level BPE by merge replay over the distinct words of the corpus.
 
 Texts are cut into words by the pattern; chunks of texts become numbers: a word that is a token is its rank, any other one
-is a place in the chunk's own list of words. The distinct words of all chunks meet in Spark, dealt out by hash, and each
-is merged once: all words of a slice lie in one row of symbols. An inverted index leads from the rank of a
+is a place in the chunk's own list of words. These lists are dealt out by the words' hash, so that the words of all chunks
+meet and each is merged once (once for each 2^GROUP_BITS input partitions, and each MEMORY of words, if there are more): all words
+of a slice lie in one row of symbols. An inverted index leads from the rank of a
 merge to the positions of the pairs that it joins; merges are applied in rank order, each over all its positions
 from left to right, and only the pairs to the left and right of a joined one are entered anew. A new pair of a
-lower rank than the current merge is joined first, as the order within each word demands. The ids then go back to the
-chunks by a join on the word, and chunks are spread out to texts again.
+lower rank than the current merge is joined first, as the order within each word demands. The ids then go back to their
+chunks, which are spread out to texts again. Numbers, words and ids travel as compressed blocks. The exchange of chunks is read
+twice, so the texts should come from a table, whose rows don't change when a lost part is made again.
 
 Null and empty texts have no tokens. Repeated rows are encoded each; an empty table gives an empty result. Whole texts are
 encoded; memory follows the longest text, the chunk and the slice.
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, fresh, shared_dir, stored
+from .common import bounded_batches, fresh
 
-#: Characters of a chunk, and bytes of the words that are merged side by side.
-CHUNK, SLICE = 1 << 22, 1 << 20
+#: Characters of a chunk, bytes of the words that are merged side by side, and of those that are held at once.
+CHUNK, SLICE, MEMORY = 1 << 22, 1 << 20, 1 << 24
+#: Parts that words are dealt to by hash, and input partitions whose words meet.
+BUCKETS, GROUP_BITS = 64, 10
 #: Ranks are joined at once until so many of them, more than others since, had fewer places than FEW.
 FEW, FEW_STEPS = 8, 40
 
@@ -219,11 +223,12 @@ class Codec:
         number_of = numbers.__getitem__
         return [np.array(list(map(number_of, self.split(t))), np.int32) if t else np.empty(0, np.int32) for t in texts], numbers.words
 
-    def ids(self, numbers: np.ndarray, of_words: list[np.ndarray]) -> np.ndarray:
-        """The ids of numbers in a row, those of each word that is no token in its place, and where each number's ids end."""
+    def ids(self, numbers: np.ndarray, sizes: np.ndarray, of_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbers in a row, and where each number's ids end. sizes: how many ids each word has that is no token;
+        of_words: these ids, one word after another."""
         n = len(self.tokens)
-        source = np.concatenate([np.arange(n, dtype=np.int32), *of_words]) if of_words else np.arange(n, dtype=np.int32)
-        lengths = np.r_[np.ones(n, np.int64), [len(x) for x in of_words]].astype(np.int64)
+        source = np.concatenate([np.arange(n, dtype=np.int32), of_words.astype(np.int32)])
+        lengths = np.concatenate([np.ones(n, np.int64), sizes])
         starts = np.cumsum(lengths) - lengths
         own = lengths[numbers]
         ends = np.cumsum(own)
@@ -233,8 +238,9 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text, all in one process."""
         numbers, words = self.cut(texts)
-        of_words = [np.array(x, np.int32) for x in replay(words, Merges(self.ranks))]
-        return [self.ids(x, of_words)[0].tolist() for x in numbers]
+        of_words = replay(words, Merges(self.ranks))
+        flat, sizes = np.array([i for x in of_words for i in x], np.int32), np.array([len(x) for x in of_words], np.int64)
+        return [self.ids(x, sizes, flat)[0].tolist() for x in numbers]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -269,8 +275,34 @@ def unpressed(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def dealt(numbers: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, list[bytes]]:
+    """Words put in the order of their buckets, as a block for each, and the numbers from n on changed with them."""
+    bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    numbers = numbers.copy()
+    rest = numbers >= n
+    numbers[rest] = n + place[numbers[rest] - n]
+    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    own = [words[i] for i in order]
+    return numbers, [block(own[a:b]) if b > a else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def block(words: list[bytes]) -> bytes:
+    sizes = np.array([len(w) for w in words], "<u4").tobytes()
+    return zlib.compress(len(words).to_bytes(4, "little") + sizes + b"".join(words), 1)
+
+
+def unblock(raw: bytes) -> list[bytes]:
+    raw = zlib.decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+
+
 def cut(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: str) -> DataFrame:
-    """Chunks of docs: (chunk, kept: the columns keep of its rows, sizes: words of each, numbers, words)."""
+    """Chunks of docs: (chunk, kept: the columns keep of its rows, sizes: words of each, numbers, words: a block a bucket)."""
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
     fields = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kept", T.ArrayType(rows.schema["kept"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
     arrow = to_arrow_schema(fields)
@@ -282,9 +314,10 @@ def cut(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: s
             nonlocal chunk
             kept = pa.concat_arrays([b.column(0) for b in held]).cast(arrow.field("kept").type.value_type)
             numbers, words = codec.cut([t for b in held for t in b.column(1).to_pylist()])
+            flat, blocks = dealt(np.concatenate(numbers), words, len(codec.tokens))
             name = held[0].column(2)[0].as_py() << 32 | chunk
             chunk += 1
-            cols = [[name], None, [pressed(np.array([len(x) for x in numbers]))], [pressed(np.concatenate(numbers))], [words]]
+            cols = [[name], None, [pressed(np.array([len(x) for x in numbers]))], [pressed(flat)], [blocks]]
             arrays = [pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept) if c is None else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
@@ -306,51 +339,64 @@ def cut(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: s
     return rows.mapInArrow(run, fields)
 
 
-def merged(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(word, ids) of distinct words, by merge replay over slices of each partition."""
+def merged(blocks: DataFrame, ranks_path: str) -> DataFrame:
+    """(chunk, bucket, sizes, ids) of blocks (bucket, chunk, words): each distinct word merged once, as far as memory goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, held, size = None, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(replay(held, merges), pa.list_(pa.int32()))], ["word", "ids"])
+            distinct = list(dict.fromkeys(w for *_, words in held for w in words))
+            of, part, n = {}, [], 0
+            for w in distinct:
+                part.append(w)
+                n += len(w)
+                if n >= SLICE:
+                    of.update(zip(part, replay(part, merges), strict=True))
+                    part, n = [], 0
+            of.update(zip(part, replay(part, merges), strict=True))
+            rows = [(c, k, pressed(np.array([len(of[w]) for w in words], np.int32)), pressed(np.array([i for w in words for i in of[w]], np.int32))) for c, k, words in held]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "bucket", "sizes", "ids"])
 
         for b in batches:
             merges = merges or Merges(read_ranks(ranks_path))
-            for w in b.column(0).to_pylist():
-                held.append(w)
-                size += len(w)
-                if size >= SLICE:
+            for k, c, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                held.append((c, k, unblock(raw)))
+                size += sum(map(len, held[-1][2]))
+                if size >= MEMORY:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    return words.mapInArrow(run, "word binary, ids array<int>")
+    return blocks.mapInArrow(run, "chunk long, bucket int, sizes binary, ids binary")
 
 
-def spread(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: str, give: Callable[[Codec, list[np.ndarray]], list[pa.Array]], schema: T.StructType) -> DataFrame:
-    """The columns keep of docs, and those that give makes of the ids of some rows; schema: all of these."""
+def spread(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: str, give: Callable[[Codec, np.ndarray, np.ndarray], list[pa.Array]], schema: T.StructType) -> DataFrame:
+    """The columns keep of docs, and those that give makes of the ids of some rows and their borders; schema: all of these."""
     bounded_batches(docs.sparkSession)
-    folder = shared_dir(docs.sparkSession)
-    chunks = stored(cut(docs, keep, ranks_path, pattern, text), f"{folder}/chunks")
-    each = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    words = stored(merged(each.select("word").distinct(), ranks_path), f"{folder}/words")
-    back = each.join(words, "word").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x")).select("chunk", F.col("x.ids").alias("ids"))
-    full = chunks.select("chunk", "kept", "sizes", "numbers").join(back, "chunk", "left").select("kept", "sizes", "numbers", "ids")
+    chunks = cut(docs, keep, ranks_path, pattern, text).repartition("chunk")
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, c, x) for c, words in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True) for k, x in enumerate(words) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["bucket", "chunk", "words"])
+
+    # All columns go to Python here, so that this reads the same exchange as the join below.
+    blocks = chunks.mapInArrow(blocks_of, "bucket int, chunk long, words binary").repartition("bucket", F.shiftright("chunk", 32 + GROUP_BITS))
+    back = merged(blocks, ranks_path).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("back"))
+    full = chunks.join(back.hint("merge"), "chunk", "left").select("kept", "sizes", "numbers", F.col("back.sizes").alias("of_sizes"), F.col("back.ids").alias("of_ids"), "words")
     arrow = to_arrow_schema(schema)
+    joined = lambda raw: np.concatenate([np.empty(0, np.int32), *map(unpressed, raw or ())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
         for b in batches:
             for k in range(b.num_rows):
                 kept, sizes, numbers = b.column(0)[k].values, unpressed(b.column(1)[k].as_py()), unpressed(b.column(2)[k].as_py())
-                of = b.column(3)[k].values
-                of_words = [] if of is None else np.split(of.values.to_numpy()[of.offsets[0].as_py() : of.offsets[-1].as_py()], of.offsets.to_numpy()[1:-1] - of.offsets[0].as_py())
-                ids, ends = codec.ids(numbers, of_words)
-                cuts = np.r_[0, ends][np.cumsum(sizes)] if len(sizes) else np.empty(0, np.int64)
-                made = give(codec, np.split(ids, cuts[:-1]))
-                cols = [*kept.flatten(), *made]
+                ids, ends = codec.ids(numbers, joined(b.column(3)[k].as_py()), joined(b.column(4)[k].as_py()))
+                cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+                cols = [*kept.flatten(), *give(codec, ids, cuts)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return full.mapInArrow(run, schema)
@@ -360,17 +406,20 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     """The columns keep of docs (all, if not given) and a column token_ids (array<int>)."""
     keep = docs.columns if keep is None else keep
     (name,) = fresh(docs.select(*keep), "token_ids")
-    give = lambda codec, ids: [pa.array(ids, pa.list_(pa.int32()))]
+    give = lambda codec, ids, cuts: [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))]
     return spread(docs, keep, ranks_path, pattern, text, give, docs.select(*keep, F.lit(None).cast("array<int>").alias(name)).schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded again."""
 
-    def give(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
-        lists = [x.tolist() for x in ids]
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        return [pa.array([len(x) for x in lists], pa.int64()), pa.array([sha(codec.shown(x).encode()) for x in lists], pa.string()), pa.array([sha(codec.decode(x)) for x in lists], pa.string())]
+    def give(codec: Codec, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+        one, two = [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = ids[a:b].tolist()
+            one.append(hashlib.sha256(codec.shown(own).encode()).hexdigest())
+            two.append(hashlib.sha256(codec.decode(own)).hexdigest())
+        return [pa.array(np.diff(cuts), pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
     schema = rows.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
