@@ -278,7 +278,7 @@ def trained(train: DataFrame, top: list[tuple[bytes, int]], base: np.ndarray, st
     return model
 
 
-def score(docs: DataFrame, states: int = 8, rounds: int = 6, head: int = 50_000, tails: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, states: int = 8, rounds: int = 4, head: int = 50_000, tails: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_tail (tokens outside the head).
     rounds: of Baum-Welch at most."""
     spark = docs.sparkSession
