@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import bounded_batches, fresh
 
 #: Characters of a chunk, bytes of the words that are merged side by side, and of those that are held at once.
-CHUNK, SLICE, MEMORY = 1 << 22, 1 << 20, 1 << 24
+CHUNK, SLICE, MEMORY = 1 << 23, 1 << 20, 1 << 24
 #: Parts that words are dealt to by hash, and input partitions whose words meet.
 BUCKETS, GROUP_BITS = 64, 10
 #: Ranks are joined at once until so many of them, more than others since, had fewer places than FEW.
@@ -268,30 +268,39 @@ class Numbers(dict):
 
 def pressed(numbers: np.ndarray) -> bytes:
     """Numbers by their first bytes, second bytes and so on, compressed."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
 
 
 def unpressed(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def dealt(numbers: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, list[bytes]]:
-    """Words put in the order of their buckets, as a block for each, and the numbers from n on changed with them."""
-    bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % BUCKETS
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(words), np.int32)
-    place[order] = np.arange(len(words), dtype=np.int32)
+def dealt(numbers: np.ndarray, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers in which a word that is no token is n where it is met first and n + 1 + its place later, as words are
+    numbered in the order that they come in; the words' buckets; and a block of words for each bucket."""
+    bucket = (np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % BUCKETS).astype(np.uint8)
+    rest = np.flatnonzero(numbers >= n)
+    first = rest[np.unique(numbers[rest], return_index=True)[1]]
     numbers = numbers.copy()
-    rest = numbers >= n
-    numbers[rest] = n + place[numbers[rest] - n]
+    numbers[rest] += 1
+    numbers[first] = n
+    order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
     own = [words[i] for i in order]
-    return numbers, [block(own[a:b]) if b > a else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return numbers, bucket, [block(own[a:b]) if b > a else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def undealt(numbers: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+    """The numbers again, with words in the order of their buckets."""
+    new, place = numbers == n, np.empty(len(bucket), np.int32)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
+    at = np.where(new, np.cumsum(new) - 1, numbers - n - 1)
+    return np.where(numbers < n, numbers, n + place[np.maximum(at, 0)] if len(place) else numbers)
 
 
 def block(words: list[bytes]) -> bytes:
     sizes = np.array([len(w) for w in words], "<u4").tobytes()
-    return zlib.compress(len(words).to_bytes(4, "little") + sizes + b"".join(words), 1)
+    return zlib.compress(len(words).to_bytes(4, "little") + sizes + b"".join(words), 6)
 
 
 def unblock(raw: bytes) -> list[bytes]:
@@ -302,9 +311,10 @@ def unblock(raw: bytes) -> list[bytes]:
 
 
 def cut(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: str) -> DataFrame:
-    """Chunks of docs: (chunk, kept: the columns keep of its rows, sizes: words of each, numbers, words: a block a bucket)."""
+    """Chunks of docs: (chunk, kept: the columns keep of its rows, sizes: words of each, numbers, buckets, words: a block a
+    bucket)."""
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    fields = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kept", T.ArrayType(rows.schema["kept"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    fields = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("kept", T.ArrayType(rows.schema["kept"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("buckets", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +324,10 @@ def cut(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text: s
             nonlocal chunk
             kept = pa.concat_arrays([b.column(0) for b in held]).cast(arrow.field("kept").type.value_type)
             numbers, words = codec.cut([t for b in held for t in b.column(1).to_pylist()])
-            flat, blocks = dealt(np.concatenate(numbers), words, len(codec.tokens))
+            flat, buckets, blocks = dealt(np.concatenate(numbers), words, len(codec.tokens))
             name = held[0].column(2)[0].as_py() << 32 | chunk
             chunk += 1
-            cols = [[name], None, [pressed(np.array([len(x) for x in numbers]))], [pressed(flat)], [blocks]]
+            cols = [[name], None, [pressed(np.array([len(x) for x in numbers]))], [pressed(flat)], [zlib.compress(buckets.tobytes())], [blocks]]
             arrays = [pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept) if c is None else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
@@ -379,13 +389,13 @@ def spread(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, c, x) for c, words in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True) for k, x in enumerate(words) if x]
+            rows = [(k, c, x) for c, words in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True) for k, x in enumerate(words) if x]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["bucket", "chunk", "words"])
 
     # All columns go to Python here, so that this reads the same exchange as the join below.
     blocks = chunks.mapInArrow(blocks_of, "bucket int, chunk long, words binary").repartition("bucket", F.shiftright("chunk", 32 + GROUP_BITS))
     back = merged(blocks, ranks_path).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "sizes", "ids"))).alias("back"))
-    full = chunks.join(back.hint("merge"), "chunk", "left").select("kept", "sizes", "numbers", F.col("back.sizes").alias("of_sizes"), F.col("back.ids").alias("of_ids"), "words")
+    full = chunks.join(back.hint("merge"), "chunk", "left").select("kept", "sizes", "numbers", "buckets", F.col("back.sizes").alias("of_sizes"), F.col("back.ids").alias("of_ids"), "words")
     arrow = to_arrow_schema(schema)
     joined = lambda raw: np.concatenate([np.empty(0, np.int32), *map(unpressed, raw or ())])
 
@@ -394,7 +404,8 @@ def spread(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, text
         for b in batches:
             for k in range(b.num_rows):
                 kept, sizes, numbers = b.column(0)[k].values, unpressed(b.column(1)[k].as_py()), unpressed(b.column(2)[k].as_py())
-                ids, ends = codec.ids(numbers, joined(b.column(3)[k].as_py()), joined(b.column(4)[k].as_py()))
+                numbers = undealt(numbers, np.frombuffer(zlib.decompress(b.column(3)[k].as_py()), np.uint8), len(codec.tokens))
+                ids, ends = codec.ids(numbers, joined(b.column(4)[k].as_py()), joined(b.column(5)[k].as_py()))
                 cuts = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
                 cols = [*kept.flatten(), *give(codec, ids, cuts)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
