@@ -103,13 +103,15 @@ def test_smoothing_against_numpy(spark):
 
 def test_distances_against_numpy(spark):
     rng = np.random.default_rng(2)
-    on = rng.random((10, 12)) < 0.8
-    px = spark.createDataFrame([(int(y), int(x)) for y, x in zip(*np.nonzero(on), strict=True)], "y int, x int")
-    big = np.pad(on, 6)
-    off = np.argwhere(~big) - 6
-    for r in masks.distances(px, 3).collect():
-        d = math.sqrt(min((off[:, 0] - r.y) ** 2 + (off[:, 1] - r.x) ** 2))
-        assert abs(r.distance - (d if d <= 3 else 4)) < 1e-12
+    on = rng.random((2, 14, 17)) < 0.93
+    on[1, 3:13, 2:15] = True
+    px = spark.createDataFrame([(int(k), int(y), int(x), 14, 17) for k, y, x in zip(*np.nonzero(on), strict=True)], "scene int, y int, x int, h int, w int")
+    got = masks.distances(px, "h", "w", ("scene",)).collect()
+    assert len(got) == on.sum()
+    for r in got:
+        off = np.argwhere(~on[r.scene])
+        assert abs(r.distance - math.sqrt(((off - (r.y, r.x)) ** 2).sum(1).min())) < 1e-12
+    assert masks.distances(spark.createDataFrame([(y, x) for y in range(3) for x in range(3)], "y int, x int"), 3, 3).where("distance is not null").isEmpty()
 
 
 def test_unmarked_component_vanishes_or_stays(spark):
@@ -181,13 +183,122 @@ def test_scorer_is_the_same_in_all_orientations(spark):
         assert np.allclose(one[k], eight[k]) and abs(sum(one[k]) - 1) < 1e-9
 
 
-def test_detection_end_to_end(spark):
-    pre = {(y, x): 0.9 for y in range(2, 8) for x in range(2, 8)} | {(y, x): 0.9 for y in range(2, 8) for x in range(12, 18)}
-    post = pre | {(y, x): 0.3 for y in range(2, 8) for x in range(12, 18)}
-    for h, w, tile in ((20, 20, 10), (12, 20, 64)):
-        px = spark.createDataFrame([(y, x, pre.get((y, x), 0.0), post.get((y, x), 0.0)) for y in range(h) for x in range(w)], "y int, x int, pre double, post double")
-        got = sorted((r.damage_class, r.pixels) for r in detect(px, h, w, tile=tile, overlap=4, min_pixels=20).collect())
-        assert got == [(1, 36), (4, 36)]
+def plain_detect(pre, post, o):
+    """A run over one scene in NumPy, without overlap effects of registration: scores, blend, labels, votes."""
+    h, w = pre.shape
+    t, step = (o.tile, o.tile - o.overlap) if min(h, w) >= o.tile else (max(h, w), 1)
+    origins = lambda n: sorted({*range(0, max(n - t, 0) + 1, step), max(n - t, 0)}) if min(h, w) >= o.tile else [0]
+    total, sums = np.zeros((h, w)), np.zeros((5, h, w))
+    hann = np.hanning(t + 2)[1:-1]
+    for y0 in origins(h):
+        for x0 in origins(w):
+            a, b = (np.zeros((t, t)) for _ in "ab")
+            part = pre[y0 : y0 + t, x0 : x0 + t]
+            a[: part.shape[0], : part.shape[1]], b[: part.shape[0], : part.shape[1]] = part, post[y0 : y0 + t, x0 : x0 + t]
+            loc, members = linear_scorer()(a[None], b[None])
+            p = 1 / (1 + np.exp(-loc[0]))
+            soft = [np.exp(m[0]) / np.exp(m[0]).sum(0) for m in members]
+            wt = np.outer(hann, hann)[: part.shape[0], : part.shape[1]]
+            each = np.concatenate([[1 - p], p * np.mean(soft, 0)])[:, : part.shape[0], : part.shape[1]]
+            sums[:, y0 : y0 + t, x0 : x0 + t] += each * wt
+            total[y0 : y0 + t, x0 : x0 + t] += wt
+    p = sums / np.maximum(total, 1e-6)
+    out = []
+    for cells in plain_parts([(int(y), int(x)) for y, x in np.argwhere(1 - p[0] > o.loc_threshold)]):
+        if len(cells) >= o.min_pixels:
+            s = np.array([p[k][tuple(zip(*cells, strict=True))].sum() for k in range(1, 5)])
+            c = int(s.argmax()) + 1
+            if c == 3 and s[3] / max(s[2], 1e-6) >= 0.45:
+                c = 4
+            out.append((c, len(cells), round(float(s[c - 1] / (s.sum() + 1e-6)), 4)))
+    return sorted(out)
+
+
+def two_scenes(spark, sizes):
+    """Squares apart from each other, in scenes of several sizes; some are darker in the second image."""
+    rows, dims, images = [], [], {}
+    for k, (h, w) in enumerate(sizes):
+        pre, post = np.zeros((h, w)), np.zeros((h, w))
+        for n, (y, x) in enumerate((y, x) for y in range(3, h - 8, 11) for x in range(3, w - 8, 11)):
+            pre[y : y + 6, x : x + 6] = 0.9
+            post[y : y + 6, x : x + 6] = (0.9, 0.3, 0.75)[(n + k) % 3]
+        rows += [(f"s{k}", y, x, float(pre[y, x]), float(post[y, x])) for y in range(h) for x in range(w)]
+        dims.append((f"s{k}", h, w, 100.0, 500.0, 0.5, 0.5))
+        images[f"s{k}"] = (pre, post)
+    return spark.createDataFrame(rows, "scene string, y int, x int, pre double, post double"), spark.createDataFrame(dims, "scene string, h int, w int, xmin double, ymax double, px_w double, px_h double"), images
+
+
+@pytest.mark.parametrize("watershed", [True, False])
+def test_detection_of_many_scenes_against_numpy(spark, watershed):
+    o = model.Options(tile=16, overlap=4, sensitivity=60, min_distance=2, register=False, watershed=watershed)
+    px, dims, images = two_scenes(spark, [(30, 41), (12, 30), (27, 19)])
+    got = {}
+    for r in detect(px, dims, o).collect():
+        got.setdefault(r.scene, []).append((r.damage_class, r.pixels, round(r.confidence, 4)))
+        assert r.area == r.pixels * 0.25 and r.intensity == r.damage_class / 4 and r.damage_name == model.CLASS_NAMES[r.damage_class]
+        assert all(100 <= p.x <= 100 + 41 / 2 and 500 - 30 / 2 <= p.y <= 500 for p in r.ring)
+    for k, (pre, post) in images.items():
+        assert sorted(got[k]) == plain_detect(pre, post, o), k
+    one = detect(px.where("scene = 's0'"), dims.where("scene = 's0'"), o).collect()
+    assert sorted((r.damage_class, r.pixels, round(r.confidence, 4)) for r in one) == sorted(got["s0"])
+
+
+def test_detection_takes_back_shifts(spark):
+    rng = np.random.default_rng(3)
+    base = np.zeros((90, 90))
+    for y, x in rng.integers(6, 76, (14, 2)):
+        base[y : y + 8, x : x + 8] = 0.9
+    post = np.roll(base, (3, -5), (0, 1))
+    dims = spark.createDataFrame([(1, 90, 90, 0.0, 90.0, 1.0, 1.0)], "scene int, h int, w int, xmin double, ymax double, px_w double, px_h double")
+    px = spark.createDataFrame([(1, y, x, float(base[y, x]), float(post[y, x])) for y in range(90) for x in range(90)], "scene int, y int, x int, pre double, post double")
+    share = lambda o: (lambda rs: sum(r.pixels for r in rs if r.damage_class == 1) / sum(r.pixels for r in rs))(detect(px, dims, o).collect())
+    o = dict(tile=48, overlap=8, min_distance=3)
+    assert share(model.Options(**o)) > 0.9 > share(model.Options(**o, register=False))
+
+
+def test_a_large_tile_is_scored_quickly(spark):
+    import time
+
+    px = spark.range(512 * 512).selectExpr("0 scene", "cast(id div 512 as int) y", "cast(id % 512 as int) x", "if(id % 512 between 100 and 140 and id div 512 between 100 and 150, 0.9D, 0D) pre", "0D post")
+    dims = spark.createDataFrame([(0, 512, 512, 0.0, 512.0, 1.0, 1.0)], "scene int, h int, w int, xmin double, ymax double, px_w double, px_h double")
+    from tileframe.operators.scorer import score_windows
+    from tileframe.plans.detect import windows
+
+    began = time.perf_counter()
+    tiles = windows(px.withColumn("scene", F.col("scene").cast("int")), dims, model.Options(), None, 0)
+    assert score_windows(tiles, ["scene"], linear_scorer, 0).agg(F.count("*")).first()[0] == 512 * 512
+    assert time.perf_counter() - began < 20
+
+
+def test_scoring_goes_on_when_memory_fails():
+    from tileframe.operators.scorer import scored
+
+    def scarce(pre, post):
+        if len(pre) > 1:
+            raise RuntimeError("failed to ALLOCate memory")
+        return linear_scorer()(pre, post)
+
+    rng = np.random.default_rng(1)
+    pre, post = rng.random((3, 8, 8)), rng.random((3, 8, 8))
+    assert np.allclose(scored(scarce, pre, post, 8, multiple=4), scored(linear_scorer(), pre, post, 8, multiple=4))
+    with pytest.raises(ValueError):
+        scored(lambda a, b: (_ for _ in ()).throw(ValueError("wrong shape")), pre, post)
+
+
+def test_instances_are_outlined_with_their_holes(spark):
+    ring = [(y, x) for y in range(12) for x in range(12) if not (4 <= y < 8 and 4 <= x < 8)]
+    rows = [(y, x, 7, 2, 0.5) for y, x in ring] + [(5, 5, 9, 4, 1.0)] + [(20, x, 8, 1, 0.5) for x in range(40)]
+    r = vectors.instance_polygons(spark.createDataFrame(rows, "y int, x int, label long, damage_class int, confidence double"), 30).collect()
+    assert [(x["label"], x.pixels, x.area_px) for x in r if x["label"] == 7] == [(7, 144, 144.0)]
+    assert abs(r[0].confidence - (128 * 0.5 + 1.0) / 144) < 1e-12
+    assert vectors.is_simple([(0, 0), (4, 0), (4, 4), (0, 4)]) and not vectors.is_simple([(0, 0), (4, 4), (4, 0), (0, 4)])
+
+
+def test_areas_clip_by_scene(spark):
+    box = lambda x, y, n=1.0: [{"x": x, "y": y}, {"x": x + n, "y": y}, {"x": x + n, "y": y + n}, {"x": x, "y": y + n}]
+    f = spark.createDataFrame([(1, 1, box(0.0, 0.0)), (1, 2, box(5.0, 5.0)), (1, 3, box(9.0, 9.0)), (2, 4, box(5.0, 5.0))], "scene int, id int, ring array<struct<x:double,y:double>>")
+    areas = spark.createDataFrame([(1, box(0.5, 0.5)), (1, box(5.2, 5.2, 0.1)), (1, None), (3, box(0.0, 0.0))], "scene int, ring array<struct<x:double,y:double>>")
+    assert sorted(r.id for r in vectors.within_areas(f, areas, ["scene"]).collect()) == [1, 2, 4]
 
 
 def test_softmax_and_sigmoid(spark):
@@ -321,7 +432,6 @@ def test_sinks(spark, tmp_path):
     assert json.loads(sinks.mask_metadata())["classes"]["4"] == "Destroyed"
     sinks.write_layer(rows, str(tmp_path / "layer"), "damage_view")
     assert spark.table("damage_view").count() == 2
-    assert "<title>T</title>" in sinks.html_page("T", "b")
 
 
 def test_calibration_file_is_read_within_bounds(spark, tmp_path):

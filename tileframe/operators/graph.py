@@ -39,20 +39,26 @@ def components(edges: DataFrame, most_rounds: int = 40, folder: str | None = Non
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
-def runs(mask: DataFrame) -> DataFrame:
-    """(y, x, run): the number of the first pixel of the horizontal run that each mask pixel is in."""
-    row = Window.partitionBy("y").orderBy("x")
+def runs(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, run): the number of the first pixel of the horizontal run that each mask pixel is in."""
+    row = Window.partitionBy(*keys, "y").orderBy("x")
     begins = F.when(F.coalesce(F.lag("x").over(row) + 1, F.lit(-1)) != F.col("x"), F.col("y") * F.lit(WIDE) + F.col("x"))
-    return mask.select("y", "x").withColumn("b", begins).select("y", "x", F.max("b").over(row).alias("run"))
+    return mask.select(*keys, "y", "x").withColumn("b", begins).select(*keys, "y", "x", F.max("b").over(row).alias("run"))
 
 
-def label(mask: DataFrame) -> DataFrame:
-    """(y, x, label): 4-connected components of a mask (y, x), named by their least pixel number.
+def label(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, y, x, label): 4-connected components of a mask (keys, y, x), named by their least pixel number. The keys, such
+    as a scene's, part pixels that don't belong together.
 
     Rows of pixels become runs first, so the graph has a node for each run, not for each pixel."""
     path = shared_dir(mask.sparkSession)
-    r = stored(runs(mask), f"{path}/runs")
-    below = r.select((F.col("y") - 1).alias("y"), "x", F.col("run").alias("b"))
-    edges = r.join(below, ["y", "x"]).select(F.col("run").alias("a"), "b").distinct()
+    r = stored(runs(mask, keys), f"{path}/runs")
+    node = lambda c: F.struct(*keys, F.col(c).alias("n")) if keys else F.col(c)
+    below = r.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("run").alias("under"))
+    edges = r.join(below, [*keys, "y", "x"]).select(node("run").alias("a"), node("under").alias("b")).distinct()
     roots = components(edges)
-    return r.join(roots.withColumnRenamed("node", "run"), "run", "left").select("y", "x", F.coalesce("root", "run").alias("label"))
+    if keys:
+        roots = roots.select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.n").alias("run"), F.col("root.n").alias("root"))
+    else:
+        roots = roots.withColumnRenamed("node", "run")
+    return r.join(roots, [*keys, "run"], "left").select(*keys, "y", "x", F.coalesce("root", "run").alias("label"))

@@ -65,19 +65,25 @@ def confidence_note(mean: Column) -> Column:
 
 def stage_profile(events: DataFrame) -> DataFrame:
     """Of each stage: count, total, mean, the two order statistics without interpolation, extremes and share."""
-    # Positions n div 2 and min(floor(0.95 n), n - 1) of the sorted durations. A stage's durations are never
-    # gathered: equal ones are counted first, then a running count finds the value at a position.
+    # Positions n div 2 and min(floor(0.95 n), n - 1) of the sorted durations. A stage's durations are never gathered and not
+    # even put in one order: ranges of a 64th of an octave are counted, and only durations in the ranges that hold a position
+    # are sorted, each range on its own.
     from pyspark.sql import Window
 
-    each = events.groupBy("stage", "duration").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("stage").orderBy("duration"))
+    log = lambda c: F.floor(F.log2(c) * 64)
+    d = F.col("duration")
+    part = F.when(d > 0, log(d)).when(d < 0, F.lit(-(1 << 20)) - log(-d)).otherwise(-(1 << 19))
+    each = events.withColumn("part", part).groupBy("stage", "part", "duration").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("stage", "part").agg(F.sum("n").alias("in_part"))
+    before = F.sum("in_part").over(Window.partitionBy("stage").orderBy("part")) - F.col("in_part")
     whole = events.groupBy("stage").agg(F.count("*").alias("count"), F.sum("duration").alias("total"), F.max("duration").alias("top"), F.min("duration").alias("low"))
-    placed = each.withColumn("upto", upto).join(whole.select("stage", "count"), "stage")
-    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("duration")))
-    points = placed.groupBy("stage").agg(
-        at(F.expr("`count` div 2")).alias("p50"),
-        at(F.least(F.floor(F.col("count") * 0.95), F.col("count") - 1)).alias("p95"),
-    )
+    half, most = F.expr("`count` div 2"), F.least(F.floor(F.col("count") * 0.95), F.col("count") - 1)
+    wanted = sizes.withColumn("before", before).join(whole.select("stage", half.alias("half"), most.alias("most")), "stage")
+    holds = lambda p: (F.col("before") <= F.col(p)) & (F.col(p) < F.col("before") + F.col("in_part"))
+    placed = each.join(wanted.where(holds("half") | holds("most")), ["stage", "part"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("stage", "part").orderBy("duration"))
+    at = lambda p: F.min(F.when(holds(p) & (F.col("upto") > F.col(p)), F.col("duration")))
+    points = placed.withColumn("upto", upto).groupBy("stage").agg(at("half").alias("p50"), at("most").alias("p95"))
     all_time = whole.agg(F.sum("total").alias("wall"))
     return whole.join(points, "stage").crossJoin(F.broadcast(all_time)).select(
         "stage",
@@ -96,8 +102,8 @@ def rate(amount: Column, seconds: Column) -> Column:
     return F.round(amount / F.greatest(seconds, F.lit(1e-9)), 2)
 
 
-def response(stats: DataFrame) -> DataFrame:
+def response(stats: DataFrame, plan: tuple[tuple[str, ...], ...] = ACTIONS) -> DataFrame:
     """Tier, timeline and actions of each record with a severity."""
     by_tier = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("tier") + 1)
-    actions = F.element_at(F.array(*(F.array(*(F.lit(a) for a in row)) for row in ACTIONS)), F.col("tier") + 1)
+    actions = F.element_at(F.array(*(F.array(*(F.lit(a) for a in row)) for row in plan)), F.col("tier") + 1)
     return stats.withColumns({"timeline": by_tier(TIMELINES), "actions": actions, "tier_name": by_tier([t[0] for t in TIERS])})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import reports
 from ..model import ACTIONS, TIERS, TIMELINES, style_dimension, tier_dimension
 from ..operators import stats
 from ..sources import fixtures as fx
@@ -114,11 +115,14 @@ def stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH e AS (SELECT event_type AS stage, value AS duration FROM events),
+STAGE_PROFILE = """WITH e AS (SELECT event_type AS stage, value AS duration FROM events),
  w AS (SELECT stage, count(*) AS n, sum(duration) AS total, max(duration) AS top, min(duration) AS low, list_sort(list(duration)) AS d FROM e GROUP BY stage)
 SELECT stage, n AS "count", round(total, 4) AS total_s, round(1000.0 * total / n, 4) AS mean_ms, round(1000.0 * d[n // 2 + 1], 4) AS p50_ms,
  round(1000.0 * d[least(floor(n * 0.95)::BIGINT, n - 1) + 1], 4) AS p95_ms, round(1000.0 * top, 4) AS max_ms, round(1000.0 * low, 4) AS min_ms,
- round(100.0 * total / greatest(sum(total) OVER (), 1e-9), 4) AS pct_total FROM w""")
+ round(100.0 * total / greatest(sum(total) OVER (), 1e-9), 4) AS pct_total FROM w"""
+
+
+@query(STAGE_PROFILE)
 def stage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stage_profile(fx.stage_events(spark, sf_dir)).orderBy(F.desc("total_s"), "stage")
 
@@ -158,11 +162,57 @@ def progress_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("tile_row", "done", F.least(F.greatest(F.expr("20 + (70 * done) div total"), F.lit(0)), F.lit(100)).cast("long").alias("percent"))
 
 
-@query(f"""WITH s AS ({BY_CUSTOMER}) SELECT customer_key, '# Damage summary' || chr(10) || chr(10) || '**Severity:** ' || severity || chr(10) || '- Buildings: ' || format('{{:,}}', total_buildings) || chr(10) || '- Damaged: ' || damaged || chr(10) || '- Destroyed: ' || destroyed || chr(10) || CASE WHEN tier >= 3 THEN 'Wide damage: ' || damaged || ' of ' || total_buildings || ' buildings.' ELSE 'Limited damage.' END AS report FROM s""")
-def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.text import summary_report
+def filled_sql(template: str) -> str:
+    """reports.filled in the SQL of the tests."""
+    text = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    parts, at = [], 0
+    for m in reports.FIELD.finditer(template):
+        parts.append(text(template[at : m.start()]))
+        parts.append(f"format('{{:,}}', {m[1]}::BIGINT)" if m[2] == "," else f"printf('%{m[2]}', round({m[1]}::DOUBLE, {m[2][1:-1]}))" if m[2] else f"{m[1]}::VARCHAR")
+        at = m.end()
+    return " || ".join([*parts, text(template[at:])])
+
+
+def lines_sql(template: tuple[str, ...]) -> str:
+    return " || chr(10) || ".join(f"({filled_sql(line)})" for line in template)
+
+
+def tier_sql(texts: tuple[str, ...]) -> str:
+    return "CASE tier " + " ".join(f"WHEN {k} THEN {filled_sql(t)}" for k, t in enumerate(texts)) + " END"
+
 
-    return by_customer(spark, sf_dir).select("customer_key", summary_report().alias("report"))
+REPORTED = f"""r AS (SELECT *, CASE WHEN no_damage = {BEST} THEN 'No Damage' WHEN minor_damage = {BEST} THEN 'Minor' WHEN major_damage = {BEST} THEN 'Major' ELSE 'Destroyed' END AS dominant, {SKEW} AS skew_pct,
+ CASE WHEN damaged = 0 THEN 'none' WHEN {SKEW} > 60 THEN 'total loss' WHEN {SKEW} > 30 THEN 'rebuild' ELSE 'repair' END AS skew, CASE WHEN mean_conf > 0.75 THEN 'high' WHEN mean_conf > 0.5 THEN 'moderate' ELSE 'low' END AS note,
+ {tier_sql(reports.SUMMARIES)} AS summary, {tier_sql(TIMELINES)} AS timeline, {tier_sql(tuple(chr(10).join('- ' + a for a in x) for x in ACTIONS))} AS action_list FROM ({BY_CUSTOMER}))"""
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics by customer with all that reports name."""
+    s = by_customer(spark, sf_dir)
+    pct, band = stats.damage_skew(s)
+    s = s.withColumns({"dominant": stats.dominant_class(s), "skew_pct": pct, "skew": band, "note": stats.confidence_note(F.col("mean_conf"))})
+    return s.withColumns({"summary": reports.summary(), **reports.response_columns(ACTIONS)})
+
+
+@query(f"WITH {REPORTED} SELECT customer_key, {lines_sql(reports.PATTERN)} AS pattern, {lines_sql(reports.SITUATION)} AS situation, {lines_sql(reports.RESPONSE)} AS response FROM r")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three reports of each customer's buildings; the situation report's summary is one of five, by tier."""
+    r = reported(spark, sf_dir)
+    return r.select("customer_key", reports.lines(reports.PATTERN).alias("pattern"), reports.lines(reports.SITUATION).alias("situation"), reports.lines(reports.RESPONSE).alias("response"))
+
+
+@query(f"""WITH {REPORTED}, o AS (SELECT o_custkey, max(o_orderdate)::TIMESTAMP AS made FROM orders GROUP BY o_custkey)
+SELECT customer_key, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset=''utf-8''><title>Damage ' || customer_key || '</title></head>' || chr(10) || '<body>' || chr(10) || '<p>' || strftime(made, '%Y-%m-%d %H:%M') || '</p>' || chr(10)
+ || '<h2>Response priorities</h2>' || chr(10) || '<br>' || chr(10) || '<p><b>Severity:</b> ' || severity || '</p>' || chr(10) || '<p><b>Time:</b> ' || timeline || '</p>' || chr(10) || '<br>' || chr(10)
+ || '<ul>' || chr(10) || '<li>' || replace(substr(action_list, 3), chr(10) || '- ', '</li>' || chr(10) || '<li>') || '</li>' || chr(10) || '</ul>' || chr(10) || '</body></html>' AS report FROM r JOIN o ON o_custkey = customer_key""")
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response report as a page, with a time at its head: here that of the last order, so that it can be tested."""
+    from ..functions.text import markdown_html
+
+    made = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer_key")).agg(F.max("o_orderdate").cast("timestamp").alias("made"))
+    r = reported(spark, sf_dir).join(made, "customer_key")
+    title = F.concat(F.lit("Damage "), F.col("customer_key").cast("string"))
+    return r.select("customer_key", reports.page(title, markdown_html(reports.lines(reports.RESPONSE)), F.col("made")).alias("report"))
 
 
 @query(f"""WITH {BUILDINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY customer_key ORDER BY damage_class, area, confidence) AS id FROM buildings)

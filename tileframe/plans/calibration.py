@@ -44,14 +44,27 @@ def calib_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.ece(z, F.col("p")).select(F.round("ece", 6).alias("ece"))
 
 
-@query()
+def fit_sql(low: float = 0.25, high: float = 4.0, levels: int = 5) -> str:
+    """The same grids, each between the neighbours of the best point of the one before, as one common table after another."""
+    loss = f"(SELECT avg(-ln(q[y_true + 1] + 1e-12)) FROM (SELECT y_true, {MEAN} AS q FROM (SELECT y_true, {SOFT.format(t='p.t')} AS s FROM logits)))"
+    parts = [f"p0 AS (SELECT i, {low} * pow({high / low}, i / 24.0::DOUBLE) AS t FROM range(25) r(i))"]
+    for k in range(levels):
+        parts.append(f"g{k} AS MATERIALIZED (SELECT i, t, {loss} AS nll FROM p{k} p)")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT (SELECT t FROM g{k} WHERE i = greatest(m.i - 1, 0)) AS a, m.t AS best, (SELECT t FROM g{k} WHERE i = least(m.i + 1, (SELECT max(i) FROM g{k}))) AS b FROM (SELECT i, t FROM g{k} ORDER BY nll, t LIMIT 1) m)")
+        parts.append(f"p{k + 1} AS (SELECT i, a * pow(b / a, i / 16.0::DOUBLE) AS t FROM b{k}, range(17) r(i))")
+    return ", ".join(parts[:-1]) + f" SELECT round(best, 2) AS temperature, (SELECT count(*) FROM logits) AS n_pixels FROM b{levels - 1}"
+
+
+@query(f"WITH {LOGITS}, {fit_sql()}")
 def calib_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted temperature with the log loss before and after it, as a calibration document."""
+    """The fitted temperature, from the calibration document that a run reads."""
     from ..sources.sinks import calibration_document
 
     z = fx.logits(spark, sf_dir)
     t = calibrate.fit(z)
-    return calibration_document(spark, t, {"nll_before": calibrate.nll(z, 1.0), "nll_after": calibrate.nll(z, t)}, z.count())
+    doc = calibration_document(spark, t, {"nll_before": calibrate.nll(z, 1.0), "nll_after": calibrate.nll(z, t)}, z.count())
+    back = doc.select(F.from_json("document", "cls_temperature double, n_pixels long").alias("d"))
+    return back.select(F.round("d.cls_temperature", 2).alias("temperature"), "d.n_pixels")
 
 
 @query("SELECT customer_key, h FROM (SELECT c_custkey AS customer_key, (((c_custkey + 7) * 2654435761) % 2147483648)::BIGINT AS h FROM customer ORDER BY h, c_custkey LIMIT 64)")

@@ -34,6 +34,19 @@ def gsd_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("scene_id", F.round("ratio", 6).alias("ratio"), F.round(registration.rescale(F.col("ratio")), 6).alias("scale"))
 
 
+@query("""WITH a AS (SELECT n_nationkey AS k, (n_nationkey * 14 - 170)::DOUBLE AS lon, (n_nationkey * 6 - 72)::DOUBLE AS lat, CASE WHEN n_nationkey % 5 = 4 THEN 'EPSG:32610' ELSE 'EPSG:4326' END AS crs FROM nation)
+SELECT k AS aoi_id, crs = 'EPSG:4326' AS usable, CASE WHEN crs = 'EPSG:4326' THEN round(lon / 180 * 20037508.343, 3) END AS x, CASE WHEN crs = 'EPSG:4326' THEN round(asinh(tan(radians(lat))) / pi() * 20037508.343, 3) END AS y FROM a""")
+def aoi_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First corners of areas of interest on the raster's map; an area whose system has no way there doesn't count."""
+    k = F.col("n_nationkey")
+    lon, lat = (k * 14 - 170).cast("double"), (k * 6 - 72).cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(corner(lon, lat), corner(lon + 1, lat), corner(lon + 1, lat + 1))
+    a = fx.table(spark, sf_dir, "nation").select(k.alias("aoi_id"), ring.alias("ring"), F.when(k % 5 == 4, "EPSG:32610").otherwise("EPSG:4326").alias("crs"))
+    a = a.withColumn("ring", geo.reprojected(F.col("ring"), F.col("crs"), F.lit("EPSG:3857")))
+    return a.select("aoi_id", F.col("ring").isNotNull().alias("usable"), F.round(F.col("ring")[0]["x"], 3).alias("x"), F.round(F.col("ring")[0]["y"], 3).alias("y"))
+
+
 @query("""WITH u AS (SELECT n_nationkey AS scene_id, CASE n_nationkey % 4 WHEN 0 THEN 'metre' WHEN 1 THEN 'degree' WHEN 2 THEN 'foot' ELSE 'us-foot' END AS unit, (n_nationkey * 3 - 30)::DOUBLE AS lat FROM nation)
 SELECT scene_id, unit, round(CASE unit WHEN 'degree' THEN pi() / 180 * 6378137.0 * cos(radians(lat)) / sqrt(1 - 0.00669437999014 * pow(sin(radians(lat)), 2)) WHEN 'foot' THEN 0.3048 WHEN 'us-foot' THEN 1200.0::DOUBLE / 3937 ELSE 1.0 END, 6) AS metres FROM u""")
 def gsd_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,13 +145,17 @@ def world_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT vec_id, vec_id % 4 AS dx, vec_id // 4 AS dy, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
- p AS (SELECT (i % 8 + dx * 256)::INT AS x, (i // 8 + dy * 256)::INT AS y, v FROM d) SELECT (x - 100)::INT AS x, (y - 50)::INT AS y, round(v, 6) AS v FROM p WHERE x BETWEEN 100 AND 867 AND y BETWEEN 50 AND 30000""")
+ p AS (SELECT (i % 8 + dx * 256)::INT AS x, (i // 8 + dy * 256)::INT AS y, v FROM d), n AS (SELECT (4 * 256 - 768) // 2 AS cl, (((max(vec_id) // 4 + 1) * 256 - (max(vec_id) // 4 + 1) * 192) // 2)::INT AS ct, ((max(vec_id) // 4 + 1) * 192)::INT AS height FROM embeddings)
+SELECT (x - cl)::INT AS x, (y - ct)::INT AS y, round(v, 6) AS v FROM p, n WHERE x >= cl AND x < cl + 768 AND y >= ct AND y < ct + height""")
 def tile_scatter_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles put into a mosaic at their offsets, then cropped around its centre."""
+    """Tiles put into a mosaic at their offsets, then cropped about the mosaic's centre to the size that was asked for."""
+    from ..sources.imagery import centre_crop
+
     e = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     p = e.select((F.col("i") % 8 + F.col("vec_id") % 4 * 256).cast("int").alias("x"), (F.expr("i div 8") + F.expr("vec_id div 4") * 256).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
-    kept = p.where(F.col("x").between(100, 867) & F.col("y").between(50, 30000))
-    return kept.select((F.col("x") - 100).alias("x"), (F.col("y") - 50).alias("y"), F.round("v", 6).alias("v"))
+    size = fx.table(spark, sf_dir, "embeddings").agg(F.expr("cast(max(vec_id) div 4 + 1 as int)").alias("rows"))
+    size = size.select(F.lit(4 * 256).alias("width"), (F.col("rows") * 256).alias("height"), F.lit(768).alias("asked_w"), (F.col("rows") * 192).alias("asked_h"))
+    return centre_crop(p, size).select("x", "y", F.round("v", 6).alias("v"))
 
 
 @query("SELECT n_nationkey AS request_id, least(greatest(n_nationkey * 9 - 20, 0), 100)::INT AS percent, round(4 + (100 - n_nationkey * 4) / 100.0::DOUBLE * 20)::INT AS distance FROM nation")
@@ -148,13 +165,15 @@ def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "nation").select(k.alias("request_id"), clamp(k * 9 - 20, 0, 100).cast("int").alias("percent"), F.bround(4 + (100 - k * 4) / F.lit(100.0) * 20).cast("int").alias("distance"))
 
 
-@query()
+@query(f"""WITH {REQUESTS}, g AS (SELECT *, unnest(range(nx)) AS dx FROM w), h AS (SELECT *, unnest(range(ny)) AS dy FROM g),
+ u AS (SELECT request_id, 'https://tiles.invalid/17/' || ((x0 + dx + 131072) % 131072) || '/' || (y0 + dy) || '.png' AS url FROM h WHERE y0 + dy BETWEEN 0 AND 131071)
+SELECT request_id, count(*) AS tiles, count(*) FILTER (url LIKE '%7.png') AS failed, count(*) FILTER (url LIKE '%7.png') = count(*) AS all_failed FROM u GROUP BY request_id""")
 def fetched_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of all requests through an injected fetch that fails for some; a request fails if all of its tiles do."""
     from ..sources.imagery import fetch, request_outcome
 
     def source(url: str) -> tuple[str, bytes]:
-        if url.endswith("7"):
+        if url.endswith("7.png"):
             raise OSError("no such tile")
         return "image/png", url.encode() * 40
 

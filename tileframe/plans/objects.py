@@ -104,11 +104,11 @@ def close_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.closed(dense(spark, sf_dir), *scene_size(fx.scene(spark, sf_dir)))
 
 
-@query(f"""WITH {SCENE}, m AS (SELECT y, x FROM scene WHERE v > -0.15), f AS (SELECT j - 3 AS j, i - 3 AS i FROM range(7) a(j), range(7) b(i) WHERE (j - 3) * (j - 3) + (i - 3) * (i - 3) BETWEEN 1 AND 9),
- n AS (SELECT m.y, m.x, min(j * j + i * i) AS d2 FROM m, f WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.y = m.y + j AND b.x = m.x + i) GROUP BY m.y, m.x)
-SELECT m.y, m.x, round(coalesce(sqrt(d2), 4.0), 6) AS distance FROM m LEFT JOIN n ON n.y = m.y AND n.x = m.x""")
+@query(f"""WITH {SCENE}, m AS (SELECT y, x FROM scene WHERE v > -0.15), b AS (SELECT y, x FROM scene WHERE v <= -0.15)
+SELECT m.y, m.x, round(sqrt(min((m.y - b.y) * (m.y - b.y) + (m.x - b.x) * (m.x - b.x))), 6) AS distance FROM m, b GROUP BY m.y, m.x""")
 def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.distances(dense(spark, sf_dir), 3).select("y", "x", F.round("distance", 6).alias("distance"))
+    """Exact, by rows and columns; the SQL compares all pairs."""
+    return masks.distances(dense(spark, sf_dir), *scene_size(fx.scene(spark, sf_dir))).select("y", "x", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH RECURSIVE {LABELS} SELECT label, count(*) AS pixels, round(avg(v), 6) AS mean_conf FROM lab GROUP BY label HAVING count(*) >= greatest(20, 80 - 100) // 5")
@@ -129,11 +129,11 @@ def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.filled(dense(spark, sf_dir), *scene_size(fx.scene(spark, sf_dir)))
 
 
-@query(f"WITH {SCENE}, t AS (SELECT y, x, (v * 1000)::INT % 3 AS target FROM scene), k AS (SELECT y, x, target FROM t WHERE target BETWEEN 1 AND 2 AND (y * 7 + x * 13) % 5 = 0) SELECT k.y, k.x, target, round(v, 6) AS v FROM k JOIN scene s ON s.y = k.y AND s.x = k.x")
+@query(f"WITH {SCENE}, k AS (SELECT y, x, (v * 1000)::INT % 3 AS target FROM scene) SELECT k.y, k.x, target, round(v, 6) AS v FROM k JOIN scene s ON s.y = k.y AND s.x = k.x WHERE target BETWEEN 1 AND 2")
 def gather_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values at a list of places with a class in range."""
+    """Values at all places with a class in range."""
     s = fx.scene(spark, sf_dir)
-    places = s.select("y", "x", (F.bround(F.col("v") * 1000).cast("int") % 3).alias("target")).where(F.col("target").between(1, 2) & ((F.col("y") * 7 + F.col("x") * 13) % 5 == 0))
+    places = s.select("y", "x", (F.bround(F.col("v") * 1000).cast("int") % 3).alias("target")).where(F.col("target").between(1, 2))
     return places.join(s, ["y", "x"]).select("y", "x", "target", F.round("v", 6).alias("v"))
 
 
@@ -153,21 +153,51 @@ def contour_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("label", "part", geo.wkt(F.col("ring")).alias("wkt"), F.round(F.abs(geo.shoelace(F.col("ring"))), 4).alias("area_px"), F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
 
 
-@query()
+CORNERS = f"""WITH RECURSIVE {LABELS}, big AS (SELECT label FROM lab GROUP BY label HAVING count(*) >= 3),
+ c AS (SELECT DISTINCT label, (x + i)::DOUBLE AS x, (y + j)::DOUBLE AS y FROM lab JOIN big USING (label), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)),
+ side AS (SELECT a.label, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM c a JOIN c b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y)
+   WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.label = a.label AND ((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) < 0
+     OR ((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) = 0 AND (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) > 0))))
+SELECT label, count(*)::INT AS corners, round(sum(ax * b_y - bx * ay) / 2, 4) AS area_px FROM side GROUP BY label"""
+
+
+@query(CORNERS)
 def convex_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls by monotone chain; in SQL a hull's sides are the pairs of corners that have all others on their left."""
     p = vectors.polygons(labels(spark, sf_dir), 3, convex=True)
     return p.select("label", F.size("ring").alias("corners"), F.round("area_px", 4).alias("area_px"))
 
 
-@query()
+def detection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two pairs of scenes in which some chips hold a building of 6 x 6 pixels that got darker by one of four steps."""
+    e = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    at = F.explode(F.sequence(F.lit(0), F.lit(63)))
+    px = e.select("vec_id", "embedding", at.alias("i")).withColumn("scene", F.explode(F.array(F.lit(0), F.lit(1))))
+    cy, cx = F.expr("i div 8"), F.col("i") % 8
+    built = (F.element_at("embedding", 1) > 0) & cy.between(1, 6) & cx.between(1, 6)
+    step = F.floor(F.abs(F.when(F.col("scene") == 0, F.element_at("embedding", 2)).otherwise(F.element_at("embedding", 3))).cast("double") * 1000).cast("int") % 4
+    pre = F.when(built, 0.9).otherwise(0.0)
+    post = F.when(built, 0.9 - F.element_at(F.array(*(F.lit(v) for v in (0.05, 0.15, 0.3, 0.6))), step + 1)).otherwise(0.0)
+    pixels = px.select("scene", (F.expr("vec_id div 20") * 8 + cy).cast("int").alias("y"), (F.col("vec_id") % 20 * 8 + cx).cast("int").alias("x"), pre.alias("pre"), post.alias("post"))
+    h, w = scene_size(fx.scene(spark, sf_dir))
+    return pixels, spark.createDataFrame([(k, h, w, 1000.0 * k, 2000.0, 0.5, 0.5) for k in (0, 1)], "scene int, h int, w int, xmin double, ymax double, px_w double, px_h double")
+
+
+@query("""WITH b AS (SELECT vec_id, scene, [0.05, 0.15, 0.3, 0.6][1 + floor(abs(CASE scene WHEN 0 THEN embedding[2] ELSE embedding[3] END::DOUBLE) * 1000)::INT % 4]::DOUBLE AS diff FROM embeddings, (VALUES (0), (1)) k(scene) WHERE embedding[1] > 0),
+ z AS (SELECT *, [exp(-8.0::DOUBLE * abs(diff - s)) FOR s IN [0.05, 0.15, 0.3, 0.6]] AS a, [exp(-9.0::DOUBLE * abs(diff - s)) FOR s IN [0.05, 0.15, 0.3, 0.6]] AS c FROM b),
+ q AS (SELECT *, [a[k] / list_sum(a) / 2 + c[k] / list_sum(c) / 2 FOR k IN [1, 2, 3, 4]] AS q FROM z), v AS (SELECT *, list_position(q, list_max(q)) AS k FROM q),
+ u AS (SELECT *, CASE WHEN k = 3 AND q[4] / q[3] >= 0.45 THEN 4 ELSE k END AS damage_class FROM v),
+ m AS (SELECT *, scene * 1000 + ((vec_id % 20) * 8 + 1) * 0.5::DOUBLE AS west, 2000 - ((vec_id // 20) * 8 + 1) * 0.5::DOUBLE AS north FROM u)
+SELECT scene, west, north, damage_class, CASE damage_class WHEN 1 THEN 'No Damage' WHEN 2 THEN 'Minor Damage' WHEN 3 THEN 'Major Damage' ELSE 'Destroyed' END AS damage_name, round(q[damage_class], 3) AS confidence, damage_class / 4.0::DOUBLE AS intensity, 9.0::DOUBLE AS area, 36 AS pixels, 4 AS corners FROM m WHERE scene = 0 OR (west <= 1060 AND north >= 1900)""")
 def detect_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both scenes to damage-classified buildings, all steps of a detection run."""
+    """Pairs of scenes to classified buildings: registered, tiled, scored, blended, split, voted, outlined, clipped to areas.
+    The buildings stand apart, so that SQL knows what comes out."""
+    from ..model import Options
     from .detect import detect
 
-    s = fx.scene(spark, sf_dir)
-    h, w = scene_size(s)
-    n = s.count() // 64
-    chip = F.expr("cast((y div 8) * 20 + x div 8 as long)")
-    post = fx.scene_pair(spark, sf_dir).select("chip", F.col("y").alias("cy"), F.col("x").alias("cx"), "pre", "post")
-    both = s.select("y", "x", chip.alias("chip"), (F.col("y") % 8).alias("cy"), (F.col("x") % 8).alias("cx")).join(post, ["chip", "cy", "cx"]).select("y", "x", "pre", "post")
-    return detect(both, h, w, tile=64, overlap=8, min_pixels=3, min_distance=2) if n else spark.createDataFrame([], "label long, damage_class int, confidence double, pixels long")
+    pixels, scenes = detection(spark, sf_dir)
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    aoi = spark.range(1).select(F.lit(1).alias("scene"), F.array(corner(1000, 2000), corner(1060, 2000), corner(1060, 1900), corner(1000, 1900)).alias("ring"))
+    found = detect(pixels, scenes, Options(tile=64, overlap=8, sensitivity=60, min_distance=2), aoi=aoi)
+    west, north = F.array_min(F.transform("ring", lambda p: p["x"])), F.array_max(F.transform("ring", lambda p: p["y"]))
+    return found.select("scene", west.alias("west"), north.alias("north"), "damage_class", "damage_name", F.round("confidence", 3).alias("confidence"), "intensity", "area", "pixels", F.size("ring").alias("corners"))

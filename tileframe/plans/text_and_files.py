@@ -9,6 +9,8 @@ from ..functions import text
 from ..operators import stats
 from ..sources import files, imagery, sinks
 from ..sources import fixtures as fx
+from .assessments import BUILDINGS, STAGE_PROFILE, record
+from .pixels import SCENE
 from .registry import query
 
 PATHS = """p AS (SELECT 'images/n' || n_nationkey || '_pre_disaster.png' AS path FROM nation UNION ALL SELECT 'images/n' || n_nationkey || '_post_disaster.png' FROM nation WHERE n_nationkey % 5 <> 4
@@ -103,41 +105,50 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "nation").select(k, F.format_string("tile_%.4f_%.4f", (k * 6 - 72.5).cast("double"), (k * 14 - 170.25).cast("double")).alias("name"), F.format_string("%.2f", (k * 0.37 + 0.001).cast("double")).alias("two"), F.format_number(k * 98765, 0).alias("grouped"))
 
 
-@query()
+@query(f"WITH {BUILDINGS} SELECT 'damage' AS layer, '512' AS tile, 'Destroyed' AS class4, {record()} FROM buildings")
 def provenance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's document, read back; only its time of making is left out, as it is another each time."""
     b = fx.buildings(spark, sf_dir)
-    return sinks.provenance(stats.assess(b), {"layer": "damage", "tile": "512", "overlap": "64"})
+    assessed = stats.assess(b)
+    doc = sinks.provenance(assessed, {"layer": "damage", "tile": "512", "overlap": "64"})
+    kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in assessed.schema.fields)
+    back = doc.select(F.from_json("document", f"run struct<created_utc: string, layer: string, tile: string>, classes map<string, string>, result struct<{kind}>").alias("d"))
+    return back.where(F.col("d.run.created_utc").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")).select("d.run.layer", "d.run.tile", F.element_at("d.classes", "4").alias("class4"), "d.result.*")
 
 
-@query()
+@query(STAGE_PROFILE)
 def performance_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stage profile as one document; its stages are few."""
+    """The stage profile as one document, read back; its stages are few."""
     p = stats.stage_profile(fx.stage_events(spark, sf_dir))
-    row = F.struct(*(c for c in p.columns if c != "stage"))
-    return p.agg(F.sort_array(F.collect_list(F.struct("stage", row.alias("s")))).alias("l")).select(F.to_json(F.struct(F.map_from_entries("l").alias("stages"))).alias("document"))
-
-
-@query("SELECT page_id, '<!DOCTYPE html>' || chr(10) || '<html><head><title>' || url || '</title></head><body>' || chr(10) || '<p>Pages of this address: ' || count(*) OVER (PARTITION BY url) || '</p></body></html>' AS report FROM pages")
-def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    doc = sinks.performance(p)
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in p.schema.fields if f.name != "stage")
+    back = doc.select(F.explode(F.from_json("document", f"stages map<string, struct<{kind}>>")["stages"]).alias("stage", "s"))
+    return back.select("stage", "s.*")
 
-    p = fx.table(spark, sf_dir, "pages").select("page_id", "url", F.count("*").over(Window.partitionBy("url")).alias("n"))
-    return p.select("page_id", F.concat(F.lit("<!DOCTYPE html>\n<html><head><title>"), "url", F.lit("</title></head><body>\n<p>Pages of this address: "), F.col("n").cast("string"), F.lit("</p></body></html>")).alias("report"))
 
-
-@query()
+@query(f"WITH {SCENE} SELECT y // 256 AS block_y, x // 256 AS block_x, 65536 AS cells, count(*) AS set, sum(CASE WHEN v > 0.2 THEN 4 ELSE 2 END)::BIGINT AS total, sum(CASE WHEN v > 0.2 THEN 4 ELSE 2 END * ((y % 256) * 256 + x % 256))::BIGINT AS mark FROM scene WHERE v > 0.15 GROUP BY 1, 2")
 def mask_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.scene(spark, sf_dir).select("y", "x", F.when(F.col("v") > 0.2, 4).when(F.col("v") > 0.15, 2).otherwise(0).alias("damage_class"))
     b = sinks.mask_blocks(s)
-    return b.select("block_y", "block_x", F.size("classes").alias("cells"), F.size(F.filter("classes", lambda c: c > 0)).cast("long").alias("set"))
+    place = F.sequence(F.lit(0), F.lit(sinks.BLOCK * sinks.BLOCK - 1))
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, v: a + v)
+    return b.select(
+        "block_y", "block_x", F.size("classes").alias("cells"), F.size(F.filter("classes", lambda c: c > 0)).cast("long").alias("set"), add("classes").alias("total"),
+        add(F.zip_with("classes", place, lambda c, k: c.cast("long") * k)).alias("mark"),
+    )
 
 
-@query("SELECT l_linenumber AS class_order, count(*) AS features FROM lineitem WHERE l_linenumber BETWEEN 1 AND 4 GROUP BY l_linenumber")
+@query(f"""WITH {BUILDINGS} SELECT (row_number() OVER (ORDER BY damage_class, customer_key, area, confidence))::INT AS place, damage_class, customer_key, round(area, 2) AS area FROM buildings WHERE customer_key <= 100 AND damage_class > 1""")
 def class_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of the classes 1 to 4, put together class by class."""
-    li = fx.table(spark, sf_dir, "lineitem").select("l_linenumber")
-    out = None
-    for k in range(1, 5):
-        part = li.where(F.col("l_linenumber") == k).select(F.lit(k).alias("class_order"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("class_order").agg(F.count("*").alias("features"))
+    """Features of the damaged classes of some customers, put together class by class; a feature's place is its own within its
+    class and the sizes of the classes before."""
+    from pyspark.sql import Window
+
+    b = fx.buildings(spark, sf_dir).where("customer_key <= 100")
+    parts = [b.where(F.col("damage_class") == k) for k in range(2, 5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    before = out.groupBy("damage_class").agg(F.count("*").alias("n")).select("damage_class", (F.sum("n").over(Window.orderBy("damage_class")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("damage_class").orderBy("customer_key", "area", "confidence"))
+    return out.withColumn("own", own).join(F.broadcast(before), "damage_class").select((F.col("own") + F.col("before")).cast("int").alias("place"), "damage_class", "customer_key", F.round("area", 2).alias("area"))

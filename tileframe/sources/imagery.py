@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
+#: Fixed value: Web Mercator as a .prj file states it.
+MERCATOR_PRJ = (
+    'PROJCS["WGS 84 / Pseudo-Mercator",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],'
+    'PROJECTION["Mercator_1SP"],PARAMETER["central_meridian",0],PARAMETER["scale_factor",1],PARAMETER["false_easting",0],PARAMETER["false_northing",0],UNIT["metre",1],AUTHORITY["EPSG","3857"]]'
+)
+
+
 def with_start(requests: DataFrame) -> DataFrame:
     """Adds the grid of each request (zoom, lat, lon, width, height): nx, ny tiles from x0, y0. The centre is on a tile's edge."""
     r = requests.withColumns({"cx": geo.tile_x(F.col("lon"), F.col("zoom")), "cy": geo.tile_y(F.col("lat"), F.col("zoom")), "nx": geo.tiles_across(F.col("width")), "ny": geo.tiles_across(F.col("height")), "n": geo.tiles_at(F.col("zoom")).cast("long")})
@@ -38,7 +45,15 @@ def with_world_file(requests: DataFrame) -> DataFrame:
     cut = lambda n, size: F.expr(f"({n} * {geo.SIDE} - {size}) div 2")
     r = r.withColumns({"x": F.col("left") + cut("nx", "width") * F.col("pixel_width") + F.col("pixel_width") / 2, "y": F.col("top") + cut("ny", "height") * F.col("pixel_height") + F.col("pixel_height") / 2})
     lines = [F.format_string("%.10f", "pixel_width"), F.lit("0.0"), F.lit("0.0"), F.format_string("%.10f", "pixel_height"), F.format_string("%.6f", "x"), F.format_string("%.6f", "y")]
-    return r.withColumn("world_file", F.concat_ws("\n", *lines))
+    return r.withColumns({"world_file": F.concat_ws("\n", *lines), "prj": F.lit(MERCATOR_PRJ)})
+
+
+def centre_crop(mosaic: DataFrame, size: DataFrame) -> DataFrame:
+    """Pixels (y, x, ...) of a mosaic cropped about its centre; size is one row (width, height, asked_w, asked_h)."""
+    c = mosaic.crossJoin(F.broadcast(size)).withColumns({"left": F.expr("(width - asked_w) div 2"), "top": F.expr("(height - asked_h) div 2")})
+    inside = (F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("asked_w")) & (F.col("y") >= F.col("top")) & (F.col("y") < F.col("top") + F.col("asked_h"))
+    others = [n for n in mosaic.columns if n not in ("y", "x")]
+    return c.where(inside).select((F.col("y") - F.col("top")).cast("int").alias("y"), (F.col("x") - F.col("left")).cast("int").alias("x"), *others)
 
 
 def usable(content_type: Column, body: Column) -> Column:

@@ -12,18 +12,33 @@ from ..sources import fixtures as fx
 from ..storage import shared_dir
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All of a stream that is there now, as a table in the shared folder. With mode complete each batch replaces the
-    table; with append the batches add up, and one that is run again after a failure replaces its own part."""
+def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """All of an aggregated stream that is there now, as a table in the shared folder: each batch writes the rows that it
+    changed (mode update), one that is run again after a failure replaces its own part, and of a key the last batch's row
+    counts. Groups behind the watermark leave the state."""
     spark = stream.sparkSession
     folder = shared_dir(spark)
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("last")).select(*keys, "last.*")
+
+
+def added(stream: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums by keys of all of a stream that is there now. Each batch is added up on its own and kept as a part of a table, so
+    the stream has no state; the parts are added up when they are read."""
+    spark = stream.sparkSession
+    folder = shared_dir(spark)
+    total = lambda df: df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+    def write(batch: DataFrame, n: int) -> None:
+        total(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return total(spark.read.schema(total(stream).schema).parquet(f"{folder}/out"))
 
 
 def profile(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -36,7 +51,7 @@ def profile(events: DataFrame, late: str = "2 days") -> DataFrame:
 def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    out = drained(profile(raw.select(F.col("event_type").alias("stage"), F.col("value").alias("duration"), "ts")), "complete")
+    out = drained(profile(raw.select(F.col("event_type").alias("stage"), F.col("value").alias("duration"), "ts")), ["window", "stage"])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "stage", "n", "total_s", "max_s")
 
 
@@ -48,5 +63,5 @@ def stream_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid.cover(s, *scene_size(s), 64, 8).select("y", "x", "v", "y0", "x0").write.parquet(f"{folder}/tiles")
     tiles = spark.readStream.schema("y int, x int, v double, y0 int, x0 int").parquet(f"{folder}/tiles")
     weight = grid.hann(F.col("y") - F.col("y0"), 64) * grid.hann(F.col("x") - F.col("x0"), 64)
-    sums = tiles.withColumn("wt", weight).groupBy("y", "x").agg(F.sum((F.col("v") + 0.01 * F.col("y0")) * F.col("wt")).alias("s"), F.sum("wt").alias("t"))
-    return drained(sums, "complete").select("y", "x", F.round(F.col("s") / F.greatest("t", F.lit(1e-6)), 6).alias("p"))
+    sums = tiles.select("y", "x", ((F.col("v") + 0.01 * F.col("y0")) * weight).alias("s"), weight.alias("t"))
+    return added(sums, ["y", "x"], ["s", "t"]).select("y", "x", F.round(F.col("s") / F.greatest("t", F.lit(1e-6)), 6).alias("p"))
