@@ -16,7 +16,7 @@ from tileframe.functions import geo, scalar, text
 from tileframe.operators import calibrate, graph, grid, masks, registration, stats, vectors, votes
 from tileframe.operators.scorer import linear_scorer, orientations, predict_tiles
 from tileframe.plans.detect import detect
-from tileframe.sources import files, imagery, sinks
+from tileframe.sources import files, imagery, sinks, tiff
 
 
 def mask_of(spark, picture):
@@ -558,3 +558,125 @@ def test_a_run_can_be_cancelled(spark):
     with pytest.raises(Cancelled):
         cancellable(spark, slow, lambda: time.time() - began > 3)
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("shape", [(5, 7, 1), (300, 260, 3), (256, 512, 1)])
+def test_tiff_round_trip(shape):
+    rng = np.random.default_rng(0)
+    px = rng.integers(0, 255, shape).astype(np.uint8)
+    raw = tiff.encode(px, 500.0, 900.0, 0.5, 0.25, 32610, 0, {"CLASS_1": "No Damage"})
+    got, where = tiff.decode(raw)
+    assert (got == px).all() and where == {"xmin": 500.0, "ymax": 900.0, "px_w": 0.5, "px_h": 0.25, "epsg": 32610}
+    assert b"CLASS_1" in raw and tiff.tags_of(raw)[1][tiff.NODATA] == ("0",)
+    assert tiff.decode(tiff.encode(px))[1]["xmin"] is None
+
+
+def lzw(data):
+    """Codes of a fresh table each 200 bytes, so only 9 bits are needed."""
+    codes = []
+    for i in range(0, len(data), 200):
+        codes += [256, *data[i : i + 200]]
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_tiff_of_other_writers():
+    import struct
+
+    px = np.arange(600, dtype=">u2").reshape(20, 30)
+    body = lzw(px.tobytes())
+    fields = [(256, 3, 30), (257, 3, 20), (258, 3, 16), (259, 3, 5), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, 20), (279, 4, len(body))]
+    ifd = struct.pack(">H", len(fields)) + b"".join(struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, v in fields) + b"\0" * 4
+    got, _ = tiff.decode(struct.pack(">2sHI", b"MM", 42, 8 + len(body)) + body + ifd)
+    assert (got[:, :, 0] == px).all()
+    repeated = b"abababababab" * 30
+    assert tiff.unlzw(lzw(repeated)) == repeated
+    with pytest.raises(ValueError):
+        tiff.decode(b"no raster at all")
+
+
+def test_rasters_to_masks_end_to_end(spark, tmp_path):
+    pre, post = np.zeros((40, 50, 1), np.uint8), np.zeros((40, 50, 1), np.uint8)
+    pre[4:14, 6:16], post[4:14, 6:16] = 230, 230
+    pre[20:32, 30:44] = 230
+    for name, px in (("pre", pre), ("post", post)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.tif").write_bytes(tiff.encode(px, 100.0, 200.0, 0.5, 0.5, 32610))
+    read = lambda name: tiff.read_tiff(spark, str(tmp_path / name)).where("band = 0").select(F.lit("a").alias("scene"), "y", "x", (F.col("v") / 255).alias(name))
+    scenes = tiff.scenes_of(spark, str(tmp_path / "pre")).withColumn("scene", F.lit("a"))
+    found = detect(read("pre").join(read("post"), ["scene", "y", "x"]), scenes, model.Options(tile=32, overlap=8, sensitivity=60, register=False)).collect()
+    assert sorted((r.damage_class, r.area) for r in found) == [(1, 25.0), (4, 42.0)]
+    painted = spark.createDataFrame([("a", y, x, 4) for y in range(20, 32) for x in range(30, 44)], "scene string, y int, x int, damage_class int")
+    mask, where = tiff.decode(bytes(tiff.masks_as_tiff(painted, scenes).first().tiff))
+    assert mask[:, :, 0].sum() == 4 * 12 * 14 and (mask[20:32, 30:44] == 4).all() and where["epsg"] == 32610
+    assert list(tiff.read_tiff(spark, str(tmp_path / "pre")).groupBy("band").count().orderBy("band").toPandas()["count"]) == [2000] * 3
+
+
+def test_percentiles_stretch_each_scene(spark):
+    from tileframe.plans.detect import stretched
+
+    rows = [(s, 0, x, float(x * (1 + s)), float(x)) for s in (0, 1) for x in range(101)]
+    got = {(r.scene, r.x): r.pre for r in stretched(spark.createDataFrame(rows, "scene int, y int, x int, pre double, post double")).collect()}
+    for s in (0, 1):
+        assert got[s, 0] == 0 and got[s, 100] == 255 and got[s, 50] == int((50 - 2) / 96 * 255 - 1e-4)
+
+
+def test_geopackage_has_geometry(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    ring = [{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 2.0}, {"x": 3.0, "y": 5.0}]
+    path = str(tmp_path / "g.gpkg")
+    sinks.write_gpkg(spark.createDataFrame([(7, "Minor Damage", ring)], "id int, damage_name string, ring array<struct<x:double,y:double>>"), path, 32610)
+    with sqlite3.connect(path) as db:
+        geom, n, name = db.execute("SELECT geom, id, damage_name FROM damage_buildings").fetchone()
+        assert geom[:4] == b"GP\0\x03" and struct.unpack("<idddd", geom[4:40]) == (32610, 1.0, 3.0, 2.0, 5.0) and (n, name) == (7, "Minor Damage")
+        assert struct.unpack("<BIII", geom[40:53]) == (1, 3, 1, 4) and struct.unpack("<8d", geom[53:]) == (1.0, 2.0, 3.0, 2.0, 3.0, 5.0, 1.0, 2.0)
+        assert db.execute("SELECT data_type, min_x, max_y, srs_id FROM gpkg_contents").fetchone() == ("features", 1.0, 5.0, 32610)
+        assert db.execute("SELECT column_name, geometry_type_name FROM gpkg_geometry_columns").fetchone() == ("geom", "POLYGON")
+        assert {r[0] for r in db.execute("SELECT srs_id FROM gpkg_spatial_ref_sys")} == {-1, 0, 4326, 32610}
+
+
+def test_pdf_and_output_paths(tmp_path):
+    sinks.write_pdf("A title (draft)\n" + "word " * 2000 + "\nend", str(tmp_path / "r.pdf"), lines=20)
+    raw = (tmp_path / "r.pdf").read_bytes()
+    assert raw.startswith(b"%PDF-1.4") and rb"A title \(draft\)" in raw and raw.count(b"/Type /Page ") > 3
+    at = int(raw.rsplit(b"startxref\n", 1)[1].split()[0])
+    assert raw[at : at + 4] == b"xref" and all(raw[int(line.split()[0]) :].split(b" ")[0] == b"%d" % (k + 1) for k, line in enumerate(raw[at:].split(b"\n")[3 : 3 + raw.count(b" obj\n")]))
+    got = sinks.output_paths(str(tmp_path / "out"), "a/b:c", {"csv": ".csv", "mask": "_mask.tif"})
+    assert got == {"csv": str(tmp_path / "out" / "a_b_c.csv"), "mask": str(tmp_path / "out" / "a_b_c_mask.tif")}
+    (tmp_path / "file").write_text("")
+    assert sinks.output_paths(str(tmp_path / "file" / "x"), "", {"csv": ".csv"}, str(tmp_path))["csv"] == str(tmp_path / "damage_assessment.csv")
+
+
+def test_download_is_whole_or_not_there(tmp_path):
+    import hashlib
+    import io
+
+    data, told = bytes(range(256)) * 4000, []
+    path = str(tmp_path / "model.onnx")
+    with pytest.raises(ValueError):
+        files.download(io.BytesIO(data), path, "0" * 64)
+    assert not list(tmp_path.iterdir())
+    files.download(io.BytesIO(data), path, hashlib.sha256(data).hexdigest().upper(), len(data), told.append, piece=50_000)
+    assert told == list(range(10, 101, 10)) and (tmp_path / "model.onnx").read_bytes() == data and len(list(tmp_path.iterdir())) == 1
+
+
+def test_signals_and_memory():
+    from tileframe.streaming.control import MemoryMeter, Signals
+
+    seen = []
+    s = Signals(*(lambda v, n=n: seen.append((n, v)) for n in ("progress", "log", "finished", "error")))
+    assert s.run([("a", lambda: 1), ("b", lambda: 2)]) == 2
+    assert seen == [("log", "a"), ("progress", 50), ("log", "b"), ("progress", 100), ("finished", 2)]
+    assert s.run([("c", lambda: 1 / 0), ("d", lambda: 2)]) is None and seen[-1] == ("error", "c: division by zero")
+    at = iter([100.0, 130.0, 80.0])
+    m = MemoryMeter(lambda: next(at))
+    assert (m.added_mb(), m.added_mb()) == (30.0, 0.0) and MemoryMeter().added_mb() >= 0
+
+
+def test_areas_are_reprojected(spark):
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10.0, 50.0), (11.0, 50.0), (11.0, 51.0))))
+    r = spark.range(1).select(geo.reprojected(ring, F.lit("EPSG:4326"), F.lit("EPSG:3857")).alias("m"), geo.reprojected(ring, F.lit("EPSG:1"), F.lit("EPSG:3857")).alias("n"), geo.reprojected(ring, F.lit("EPSG:1"), F.lit("EPSG:1")).alias("s"))
+    got = r.withColumn("back", geo.reprojected(F.col("m"), F.lit("EPSG:3857"), F.lit("EPSG:4326"))).first()
+    assert abs(got.m[0].x - 1113194.9) < 1 and got.n is None and got.s[0].x == 10.0 and abs(got.back[2].y - 51.0) < 1e-6

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Callable
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +86,24 @@ def read_pgm(spark: SparkSession, folder: str) -> DataFrame:
 
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gp]m").load(folder).select("path", "content")
     return f.mapInArrow(run, "path string, band int, y int, x int, v int")
+
+
+def download(source: BinaryIO, path: str, sha256: str, length: int | None = None, report: Callable[[int], None] | None = None, piece: int = 1 << 20) -> None:
+    """Copies a stream to a file in pieces with a running SHA-256; report is told each tenth of the length that is there. The
+    file takes its name only when all of it is there and right, so what has the name is whole; else ValueError."""
+    part, digest, done, told = f"{path}.part", hashlib.sha256(), 0, 0
+    try:
+        with open(part, "wb") as f:
+            while data := source.read(piece):
+                f.write(data)
+                digest.update(data)
+                done += len(data)
+                while report and length and told < 10 * done // length:
+                    told += 1
+                    report(told * 10)
+        if digest.hexdigest() != sha256.lower():
+            raise ValueError(f"{path}: the digest is {digest.hexdigest()}, not {sha256}")
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
