@@ -132,9 +132,12 @@ def repeated(words: list[bytes]) -> int:
     same = h[order[1:]] == h[order[:-1]]
     if not same.any():
         return 0
+    a, b = order[:-1][same], order[1:][same]
+    alike = np.ones(len(a), bool)
+    for j in range(WINDOW):  # equal hashes are only candidates
+        alike &= x[a + j] == x[b + j]
     twice = np.zeros(n, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    twice[a[alike]] = twice[b[alike]] = True
     step = np.zeros(len(x) + 1, np.int64)
     at = np.flatnonzero(twice)
     np.add.at(step, at, 1)

@@ -29,6 +29,7 @@ STRONG = "casino pills spam porn xxx viagra poker jackpot gambling malware phish
 WEAK = "cheap free win bets bet ads ad track farm bonus loan loans lottery prize click sex adult dating replica promo slots betting crypto deals".split()
 ORDINARY = "example blog www news home shop book books world wiki open data home school science music film art city sport travel health food house garden photo video game page mail forum web site online the of and to in for on is it".split()
 LEXICON = 20
+#: Letters of the longest word within a name; a name as a whole may be a word of any length.
 LONGEST = 24
 
 
@@ -59,6 +60,8 @@ def viterbi(name: str, cost: Callable[[str], float]) -> tuple[str, ...]:
     best = [(0.0, 0)]
     for j in range(1, len(name) + 1):
         best.append(min((best[i][0] + cost(name[i:j]), i) for i in range(max(0, j - LONGEST), j)))
+    if len(name) > LONGEST:
+        best[-1] = min(best[-1], (cost(name), 0))
     out, j = [], len(name)
     while j:
         i = best[j][1]
@@ -109,7 +112,7 @@ def judged(pages: DataFrame, url: str = "url", key: str = "page_id", rules: tupl
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
-                subs = list({x[i:j] for i in range(len(x)) for j in range(i + 1, min(i + LONGEST, len(x)) + 1)})
+                subs = list({x[i:j] for i in range(len(x)) for j in range(i + 1, min(i + LONGEST, len(x)) + 1)} | {x})
                 for k in range(0, len(subs), 1 << 16):
                     part = subs[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(part), pa.string()), pa.array(part, pa.string())], ["name", "piece"])
