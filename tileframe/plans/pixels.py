@@ -148,14 +148,12 @@ def tta_sql(n: int) -> str:
 def tta_mean(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """Each orientation's view of a chip is scored at its own places, brought back, and averaged with the others."""
     chips = fx.scene_pair(spark, sf_dir).select("chip", "y", "x", "pre")
-    views = None
-    for k in range(n):
-        yy, xx = sc.orient(k, F.col("y"), F.col("x"), 8)
-        seen = chips.select("chip", yy.alias("y"), xx.alias("x"), "pre").select("chip", "y", "x", (F.col("pre") * (F.col("x") + 1) + 2 * F.col("y")).alias("p"))
-        by, bx = sc.disorient(k, F.col("y"), F.col("x"), 8)
-        back = seen.select("chip", by.alias("y"), bx.alias("x"), "p")
-        views = back if views is None else views.union(back)
-    return views.groupBy("chip", "y", "x").agg(F.round(F.avg("p"), 6).alias("p"))
+    there = [sc.orient(k, F.col("y"), F.col("x"), 8) for k in range(n)]
+    views = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), yy.alias("y"), xx.alias("x")) for k, (yy, xx) in enumerate(there))))
+    seen = chips.select("chip", "pre", views.alias("v")).select("chip", "v.*", (F.col("pre") * (F.col("v.x") + 1) + 2 * F.col("v.y")).alias("p"))
+    back = [sc.disorient(k, F.col("y"), F.col("x"), 8) for k in range(n)]
+    of = lambda axis: F.element_at(F.array(*(b[axis] for b in back)), F.col("k") + 1)
+    return seen.select("chip", of(0).alias("y"), of(1).alias("x"), "p").groupBy("chip", "y", "x").agg(F.round(F.avg("p"), 6).alias("p"))
 
 
 @query(tta_sql(4))
@@ -269,9 +267,10 @@ def phase_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("chip", F.round("dy", 3).alias("dy"), F.round("dx", 3).alias("dx"), F.round("response", 3).alias("response"))
 
 
-@query()
+@query(f"""WITH {PAIR}, z AS (SELECT *, 1 / (1 + exp(-12 * (pre - 0.1))) AS l, [exp(-8 * abs(abs(post - pre) - s)) FOR s IN [0.05, 0.15, 0.3, 0.6]] AS a, [exp(-9 * abs(abs(post - pre) - s)) FOR s IN [0.05, 0.15, 0.3, 0.6]] AS b FROM pair)
+SELECT chip, y, x, round(1 - l, 6) AS p0, {', '.join(f'round(l * (a[{k}] / list_sum(a) + b[{k}] / list_sum(b)) / 2, 6) AS p{k}' for k in range(1, 5))} FROM z""")
 def scorer_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chips through the stand-in scorer in four orientations."""
+    """Chips through the stand-in scorer in four orientations; it looks at single pixels, so SQL knows what comes out."""
     p = fx.scene_pair(spark, sf_dir).groupBy("chip").agg(F.sort_array(F.collect_list(F.struct("y", "x", "pre", "post"))).alias("px"))
     tiles = p.select("chip", F.transform("px", lambda t: t["pre"]).alias("pre"), F.transform("px", lambda t: t["post"]).alias("post"))
     return predict_tiles(tiles, 8, linear_scorer, tta=4).select("chip", "y", "x", *(F.round(F.element_at("p", k + 1), 6).alias(f"p{k}") for k in range(5)))
