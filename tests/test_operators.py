@@ -680,3 +680,36 @@ def test_areas_are_reprojected(spark):
     r = spark.range(1).select(geo.reprojected(ring, F.lit("EPSG:4326"), F.lit("EPSG:3857")).alias("m"), geo.reprojected(ring, F.lit("EPSG:1"), F.lit("EPSG:3857")).alias("n"), geo.reprojected(ring, F.lit("EPSG:1"), F.lit("EPSG:1")).alias("s"))
     got = r.withColumn("back", geo.reprojected(F.col("m"), F.lit("EPSG:3857"), F.lit("EPSG:4326"))).first()
     assert abs(got.m[0].x - 1113194.9) < 1 and got.n is None and got.s[0].x == 10.0 and abs(got.back[2].y - 51.0) < 1e-6
+
+
+def test_options_from_text():
+    o = model.Options.of({"tile": "256", "tta": " 8 ", "fast": "no", "register": "off", "temperature": "99", "loc_threshold": -1, "upgrade_rules": ((2, 3, 0.5),)})
+    assert (o.tile, o.orientations, o.fast, o.register, o.temperature, o.loc_threshold, o.upgrade_rules) == (256, 8, False, False, 10.0, 0.0, ((2, 3, 0.5),))
+    with pytest.raises(ValueError):
+        model.Options.of({"no_such": 1})
+
+
+def test_algorithms_by_id_follow_each_other(spark):
+    from tileframe.plans.sql import run_algorithm
+
+    px, dims, _ = two_scenes(spark, [(30, 41)])
+    px.createOrReplaceTempView("some_pixels")
+    dims.createOrReplaceTempView("some_scenes")
+    run_algorithm(spark, "tileframe:detect", {"pixels": "some_pixels", "scenes": "some_scenes", "tile": "32", "overlap": "8", "sensitivity": 60, "min_distance": 2, "register": "off"}, "found")
+    got = run_algorithm(spark, "tileframe:assess", {"buildings": "found", "by": ["scene"]}).first()
+    assert got.total_buildings == spark.table("found").count() == 6 and got.severity in [t[0] for t in model.TIERS]
+    with pytest.raises(ValueError):
+        run_algorithm(spark, "tileframe:nothing", {})
+
+
+def test_areas_and_layers_are_read_by_name(spark, tmp_path):
+    ring = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 0.0]]
+    doc = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}, "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "geometry": {"type": "Point", "coordinates": None}}]}
+    (tmp_path / "a.geojson").write_text(json.dumps(doc, indent=1))
+    got = files.read_areas(spark, str(tmp_path / "a.geojson")).collect()
+    assert [(r.area, r.crs, [(p.x, p.y) for p in r.ring]) for r in got] == [(0, "EPSG:3857", [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])]
+    sinks.write_layer(spark.createDataFrame([(1, 2, 3.0)], "id int, damage_class int, area_m2 double"), str(tmp_path / "l"), "damage_1")
+    assert sinks.read_layer(spark, "damage_1").count() == 1
+    spark.range(1).createOrReplaceTempView("other")
+    with pytest.raises(ValueError):
+        sinks.read_layer(spark, "other")

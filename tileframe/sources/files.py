@@ -9,6 +9,7 @@ from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRE, POST, TARGET = "_pre_disaster.png", "_post_disaster.png", "_post_disaster_target.png"
 
@@ -51,6 +52,20 @@ def read_temperature(spark: SparkSession, path: str, default: float = 1.0) -> fl
     return got[0] if got else default
 
 
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """(area, crs, ring) of the polygons in GeoJSON files, outer rings only; other geometries don't count. Each file is one
+    document, as areas are drawn by hand."""
+    point = T.ArrayType(T.DoubleType())
+    geometry = T.StructType().add("type", "string").add("coordinates", T.ArrayType(T.ArrayType(point)))
+    schema = T.StructType().add("crs", T.StructType().add("properties", T.StructType().add("name", "string"))).add("features", T.ArrayType(T.StructType().add("geometry", geometry)))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    name = F.coalesce(F.concat(F.lit("EPSG:"), F.nullif(F.regexp_extract("crs.properties.name", r"(\d+)$", 1), F.lit(""))), F.lit("EPSG:4326"))
+    each = rows.select(name.alias("crs"), F.posexplode("features").alias("area", "f")).where("f.geometry.type = 'Polygon'")
+    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    open_ = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+    return each.select("area", "crs", open_.alias("ring"))
+
+
 def checked(files: DataFrame, digests: DataFrame) -> DataFrame:
     """(name, ok): whether each file's content (name, content) has the SHA-256 it should."""
     return files.select("name", F.sha2("content", 256).alias("got")).join(digests, "name").select("name", (F.col("got") == F.lower("sha256")).alias("ok"))

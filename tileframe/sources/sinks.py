@@ -30,6 +30,14 @@ def write_layer(rows: DataFrame, path: str, view: str | None = None) -> None:
         rows.sparkSession.read.parquet(path).createOrReplaceTempView(view)
 
 
+def read_layer(spark: SparkSession, name: str) -> DataFrame:
+    """A layer by the exact name that it was written under; the fields that assessments read must be there."""
+    layer = spark.table(f"`{name}`")
+    if missing := {"damage_class", "area_m2"} - set(layer.columns):
+        raise ValueError(f"{name} is no damage layer: it has no {', '.join(sorted(missing))}")
+    return layer
+
+
 def write_csv(rows: DataFrame, path: str, header: list[str]) -> None:
     """Parts of CSV, each below the same comment lines: a text sink, as the CSV writer knows no preamble."""
     columns = rows.columns
