@@ -713,3 +713,64 @@ def test_areas_and_layers_are_read_by_name(spark, tmp_path):
     spark.range(1).createOrReplaceTempView("other")
     with pytest.raises(ValueError):
         sinks.read_layer(spark, "other")
+
+
+def tiny_onnx(weight, bias):
+    """A network of one 1 x 1 convolution from `input` to `logits`, as the bytes of an ONNX file."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(k, value):
+        return varint(k << 3) + varint(value) if isinstance(value, int) else varint(k << 3 | 2) + varint(len(value)) + value
+
+    def tensor(name, a):
+        return b"".join(field(1, n) for n in a.shape) + field(2, 1) + field(8, name) + field(9, a.astype("<f4").tobytes())
+
+    def value(name, channels):
+        dims = [field(2, b"n"), field(1, channels), field(2, b"h"), field(2, b"w")]
+        return field(1, name) + field(2, field(1, field(1, 1) + field(2, b"".join(field(1, d) for d in dims))))
+
+    node = field(1, b"input") + field(1, b"w") + field(1, b"b") + field(2, b"logits") + field(4, b"Conv")
+    graph = field(1, node) + field(2, b"g") + field(5, tensor(b"w", weight)) + field(5, tensor(b"b", bias)) + field(11, value(b"input", weight.shape[1])) + field(12, value(b"logits", weight.shape[0]))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def test_onnx_sessions_are_run(spark, tmp_path):
+    from tileframe.operators.scorer import onnx_scorer
+
+    pytest.importorskip("onnxruntime")
+    rng = np.random.default_rng(6)
+    shapes = [(1, 3), (4, 6), (4, 6)]
+    weights = [(rng.normal(size=(*s, 1, 1)), rng.normal(size=s[0])) for s in shapes]
+    paths = []
+    for k, (w, b) in enumerate(weights):
+        (tmp_path / f"{k}.onnx").write_bytes(tiny_onnx(w, b))
+        paths.append(str(tmp_path / f"{k}.onnx"))
+    pre, post = rng.random((2, 8, 8)) * 255, rng.random((2, 8, 8)) * 255
+    loc, members = onnx_scorer(paths)()(pre, post)
+    mean, std = (np.array(v)[:, None, None] for v in (model.IMAGENET_MEAN, model.IMAGENET_STD))
+    x, y = ((np.repeat(v[:, None], 3, 1) / 255 - mean) / std for v in (pre, post))
+    through = lambda k, v: np.einsum("oi,nihw->nohw", weights[k][0][:, :, 0, 0], v) + weights[k][1][:, None, None]
+    assert np.allclose(loc, through(0, x)[:, 0], atol=1e-4)
+    assert all(np.allclose(m, through(1 + k, np.concatenate([x, y], 1)), atol=1e-4) for k, m in enumerate(members))
+    tiles = spark.createDataFrame([(1, pre[0].ravel().tolist(), post[0].ravel().tolist())], "k int, pre array<double>, post array<double>")
+    got = {(r.y, r.x): r.p for r in predict_tiles(tiles, 8, onnx_scorer(paths), multiple=4).collect()}
+    assert len(got) == 64 and abs(got[0, 0][0] - 1 / (1 + math.exp(float(loc[0, 0, 0])))) < 1e-6
+
+
+def test_intermediate_tables_can_be_given_back(spark, tmp_path):
+    import os
+
+    from tileframe import storage
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        storage.release(spark)
+        assert graph.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+        assert len(os.listdir(tmp_path / "shared")) == 1 and storage.release(spark) == 1 and not os.listdir(tmp_path / "shared")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
