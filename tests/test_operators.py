@@ -762,15 +762,12 @@ def test_onnx_sessions_are_run(spark, tmp_path):
     assert len(got) == 64 and abs(got[0, 0][0] - 1 / (1 + math.exp(float(loc[0, 0, 0])))) < 1e-6
 
 
-def test_intermediate_tables_can_be_given_back(spark, tmp_path):
+def test_intermediate_tables_can_be_given_back(spark, monkeypatch):
     import os
 
     from tileframe import storage
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        storage.release(spark)
-        assert graph.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
-        assert len(os.listdir(tmp_path / "shared")) == 1 and storage.release(spark) == 1 and not os.listdir(tmp_path / "shared")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(storage, "MADE", [])
+    assert graph.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+    (folder,) = storage.MADE
+    assert os.path.isdir(folder) and storage.release(spark) == 1 and not os.path.isdir(folder) and not storage.MADE
