@@ -137,6 +137,26 @@ def test_scores_dont_depend_on_partitions(spark, documents):
     assert np.allclose([r[1:3] for r in got[0]], [r[1:3] for r in got[1]], rtol=1e-9)
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from tileframe.llm import hmm
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.createDataFrame([(k, "some words of a text " * (k % 3 + 1)) for k in range(20)], "doc_id long, text string")
+print("rows", len(hmm.score(docs, states=2, rounds=1).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 20" in done.stdout, done.stderr[-2000:]
+
+
 def test_most_frequent_rows_of_one_step_are_taken_in_part(spark):
     from tileframe.llm.common import frequent
 
