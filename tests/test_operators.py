@@ -637,6 +637,11 @@ def test_geopackage_has_geometry(spark, tmp_path):
         assert {r[0] for r in db.execute("SELECT srs_id FROM gpkg_spatial_ref_sys")} == {-1, 0, 4326, 32610}
 
 
+def test_reports_are_written(spark, tmp_path):
+    sinks.write_report(spark.createDataFrame([("<html>\n</html>",)], "report string"), "report", str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).count() == 2
+
+
 def test_pdf_and_output_paths(tmp_path):
     sinks.write_pdf("A title (draft)\n" + "word " * 2000 + "\nend", str(tmp_path / "r.pdf"), lines=20)
     raw = (tmp_path / "r.pdf").read_bytes()

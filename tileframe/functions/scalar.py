@@ -64,10 +64,6 @@ def reflect(i: Column, n: Column | int) -> Column:
     return F.when(i < 0, -i).when(i >= n, 2 * (n - 1) - i).otherwise(i)
 
 
-def padded_size(n: Column, multiple: int = 32) -> Column:
-    return (F.ceil(n / F.lit(multiple)) * multiple).cast("int")
-
-
 #: The eight orientations: where (y, x) of an n x n tile goes.
 def orient(k: int, y: Column, x: Column, n: int) -> tuple[Column, Column]:
     """k & 1 mirrors left and right, k & 2 top and bottom, k & 4 transposes before."""
