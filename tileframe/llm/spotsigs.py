@@ -98,13 +98,14 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id", fl
     folder = shared_dir(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     rows = rows.select(F.col("id").isNotNull().cast("int").alias("known"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64("body").alias("tie"), "body")
-    texts = rows.groupBy(*ORDER).agg(F.first("body").alias("body"), F.count("*").alias("times"))
+    made = rows.withColumn("signs", all_signatures(F.col("body")))
+    texts = made.groupBy(*ORDER).agg(F.first("body").alias("body"), F.first("signs").alias("signs"), F.count("*").alias("times"))
     light = rows.groupBy(*ORDER).agg(F.first(F.floor(F.length("body") / 2).cast("int")).alias("half"))
     # Each text lends its beginning and its signatures to the one before it. Its times come along, so that both sides of the
     # join below read the same exchange of texts.
     lent = texts.join(followers(light, folder).hint("merge"), ORDER)
-    lent = lent.select(*(F.col(f"first_{c}").alias(c) for c in ORDER), F.col("times").alias("next_times"), F.expr("substring(body, 1, first_half)").alias("next_part"), all_signatures(F.col("body")).alias("next_signs"))
-    pairs = texts.join(lent.hint("merge"), ORDER).withColumn("signs", all_signatures(F.col("body"))).withColumn("n", F.length("body"))
+    lent = lent.select(*(F.col(f"first_{c}").alias(c) for c in ORDER), F.col("times").alias("next_times"), F.expr("substring(body, 1, first_half)").alias("next_part"), F.col("signs").alias("next_signs"))
+    pairs = texts.join(lent.hint("merge"), ORDER).withColumn("n", F.length("body"))
     pairs = pairs.withColumn("half", F.floor(F.col("n") / 2).cast("int"))
     # Of repeated rows all but the last are followed by themselves.
     own = F.struct(F.expr("substring(body, 1, half)").alias("part"), F.col("signs").alias("signs"), (F.col("times") - 1).alias("times"))
