@@ -188,7 +188,7 @@ def detection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
  q AS (SELECT *, [a[k] / list_sum(a) / 2 + c[k] / list_sum(c) / 2 FOR k IN [1, 2, 3, 4]] AS q FROM z), v AS (SELECT *, list_position(q, list_max(q)) AS k FROM q),
  u AS (SELECT *, CASE WHEN k = 3 AND q[4] / q[3] >= 0.45 THEN 4 ELSE k END AS damage_class FROM v),
  m AS (SELECT *, scene * 1000 + ((vec_id % 20) * 8 + 1) * 0.5::DOUBLE AS west, 2000 - ((vec_id // 20) * 8 + 1) * 0.5::DOUBLE AS north FROM u)
-SELECT scene, west, north, damage_class, CASE damage_class WHEN 1 THEN 'No Damage' WHEN 2 THEN 'Minor Damage' WHEN 3 THEN 'Major Damage' ELSE 'Destroyed' END AS damage_name, round(q[damage_class], 3) AS confidence, damage_class / 4.0::DOUBLE AS intensity, 9.0::DOUBLE AS area, 36 AS pixels, 4 AS corners FROM m WHERE scene = 0 OR (west <= 1060 AND north >= 1900)""")
+SELECT scene, west, north, damage_class::INT AS damage_class, CASE damage_class WHEN 1 THEN 'No Damage' WHEN 2 THEN 'Minor Damage' WHEN 3 THEN 'Major Damage' ELSE 'Destroyed' END AS damage_name, round(q[damage_class], 3) AS confidence, damage_class / 4.0::DOUBLE AS intensity, 9.0::DOUBLE AS area, 36::BIGINT AS pixels, 4 AS corners FROM m WHERE scene = 0 OR (west <= 1060 AND north >= 1900)""")
 def detect_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of scenes to classified buildings: registered, tiled, scored, blended, split, voted, outlined, clipped to areas.
     The buildings stand apart, so that SQL knows what comes out."""
