@@ -618,6 +618,26 @@ def test_what_unpacks_to_much_is_scanned():
     assert [s for s in secrets.all_spans(f"see {plain} end")[1] if (s[1], s[2]) == (4, 4 + len(plain))] == []
 
 
+@pytest.mark.parametrize("pad", [10, 5_000, 60_000, 1 << 20, 3 << 20])
+def test_secrets_are_found_alike_in_packed_and_plain_layers_of_any_size(pad):
+    """The size decides nothing: places are exact in what is only decoded, and packed text has the finds of a short one."""
+    words = lambda n: ("ab cd " * (n // 6 + 1))[:n]
+    raw = (words(pad // 3 * 3) + SECRET + " " + words(pad)).encode()
+    shift = pad // 3 * 4
+    near = lambda text, at: {(k, i - at, j - at) for k, i, j in secrets.all_spans(text)[1]}
+    short = near("see " + b64((SECRET + " " + words(30)).encode()), 4)
+    assert {s for s in near("see " + b64(raw), 4 + shift) if s[1] >= 0} >= {s for s in short if 0 <= s[1] and s[2] <= len(SECRET)}
+    packed = b64(gzip.compress(raw, 0))
+    assert {s for s in near(f"see {packed} end", 4) if s[1] == 0} >= {(k, 0, len(packed)) for k in secrets.KINDS}
+    # A value that begins before the packed text and ends behind it is one, as in a short one.
+    run = b64(gzip.compress(b"0" * (pad + 20)))
+    assert ("assign", 0, 6 + len(run) + 4) in near(f"token={run}%66", 0) or ("assign", 0, 6 + len(run) + 3) in near(f"token={run}%66", 0)
+    # Folded base64 over where a window ends.
+    folded = base64.encodebytes(("plain words, " * 400 + SECRET).encode()).decode()
+    packed = b64(gzip.compress((words(max(0, pad - 3_000)).replace(" ", "\n") + "\n\n" + folded + "\n\n" + words(pad)).encode()))
+    assert {s for s in near(f"see {packed} end", 4) if s[1] == 0} >= {("access", 0, len(packed))}
+
+
 def test_secrets_odd_and_empty(odd, nothing):
     got = secrets.digests(odd).collect()
     assert len(got) == odd.count() and all(r.spans == "" for r in got if r.doc_id in (2, 3))

@@ -9,9 +9,10 @@ Bytes that are no UTF-8 don't stop a layer: an escape of one stays as it is, and
 holds any, keeps them as marks of their own.
 
 Null and empty texts have no finds; an empty table gives an empty result. Repeated rows are scanned each, whole texts always. Compressed bytes are unpacked
-until what comes out isn't compressed, all members of each. What is longer than `WINDOW` is read as a stream of
-windows, cut at white space unless `MOST_BYTES` characters hold none; of it the layer keeps both ends and one find of each
-kind in between, as all of them have the run's place.
+until what comes out isn't compressed, all members of each. Whatever its size, what was compressed has one place, the run's:
+the layer keeps both its ends, for finds that go on outside, and it is read as a stream of windows that are layers of their
+own, cut at white space (never within folded base64) unless `MOST_BYTES` characters hold none. What wasn't compressed is
+decoded whole, each character with its place.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +36,23 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 MOST_BYTES = 1 << 24
-WINDOW, OVERLAP, PIECE, LEVELS = 1 << 20, 1 << 12, 1 << 16, 100
+WINDOW, OVERLAP, END, PIECE, LEVELS = 1 << 20, 1 << 12, 1 << 12, 1 << 16, 100
 KINDS = ("assign", "access", "hex")
 #: The patterns of the kinds, and how long a find must be.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
-#: A find of each kind that is none of another.
-SAMPLES = {"assign": "token=zzzzzzzzzzzz", "access": "AKIA" + "Z" * 14, "hex": "0" * 16}
+#: Characters that finds go on over, and one of them that ends the finds of the lines above.
+RUNS = (("0123456789abcdef", "0"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "Z"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", "_"))
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 FOLDED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}+(?:\r?\n[A-Za-z0-9+/]{4,}+)+={0,2}")
+#: A line's end where no folded base64 goes on.
+BREAK = re.compile(r"(?<![A-Za-z0-9+/\r])\r?\n|\n(?![A-Za-z0-9+/]{0,3}\Z|[A-Za-z0-9+/]{4})")
 #: Of decoded characters that aren't packed at most one in so many may be no UTF-8, and so many there must be then.
 BROKEN, LEAST_BROKEN = 8, 12
 
@@ -146,38 +150,66 @@ def width(c: str) -> int:
 
 def windows(pieces: Iterator[bytes]) -> Iterator[str]:
     """Decoded text in windows that overlap."""
-    decode, text, whole = codecs.getincrementaldecoder("utf-8")("surrogateescape"), "", True
+    decode, text, whole, searched = codecs.getincrementaldecoder("utf-8")("surrogateescape"), "", True, 0
     for x in chain(pieces, [None]):
         text += decode.decode(x or b"", x is None or x == b"")
         while len(text) > WINDOW:
-            at = max(text.rfind(c, OVERLAP * 2) for c in " \t\r\n")
+            at = max(text.rfind(c, OVERLAP * 2) for c in " \t")
+            if at < 0:
+                at = max((m.start() for m in BREAK.finditer(text, max(OVERLAP * 2, searched - 8))), default=-1)
+            searched = len(text) if at < 0 else 0
             if at < 0:
                 if len(text) < MOST_BYTES:
                     break
-                at = len(text)
+                at, searched = len(text), 0
             yield text[:at]
             text, whole = text[max(0, at - OVERLAP) :], False
     if text or whole:
         yield text
 
 
-def readable(raw: bytes) -> str | None:
-    """The text of bytes, unpacked if they are compressed; of a long one both ends and a find of each kind between. None
-    if the bytes are neither packed nor text."""
-    parts = windows(unpacked(raw))
-    first = next(parts, "")
-    broken = len(re.findall("[\udc80-\udcff]", first))
-    if broken and opener(raw) is None and (broken * BROKEN > len(first) or len(first) < LEAST_BROKEN):
+class Decoded(NamedTuple):
+    """A run's characters and the parts of the run that they come from; raw: the bytes, if they hold more."""
+
+    text: str
+    starts: np.ndarray
+    ends: np.ndarray
+    raw: bytes | None = None
+
+
+def is_packed(raw: bytes) -> bool:
+    """Whether anything comes out of bytes that begin like a compressed member."""
+    if opener(raw) is None:
+        return False
+    pieces = inflated(iter([raw]))
+    return next(pieces, None) != b"" or next(pieces, None) != raw
+
+
+def plain(raw: bytes) -> str | None:
+    """The text of bytes that aren't packed; None if they are none."""
+    text = raw.decode("utf-8", "surrogateescape")
+    broken = len(re.findall("[\udc80-\udcff]", text))
+    if broken and opener(raw) is None and (broken * BROKEN > len(text) or len(text) < LEAST_BROKEN):
         return None
-    second = next(parts, None)
-    if second is None:
-        return first or None
-    kinds, last = set(), first
-    for part in chain([first, second], parts):
-        if len(kinds) < len(KINDS):
-            kinds.update(k for k, _, _ in all_spans(part)[1])
-        last = part
-    return "\n".join([first[:OVERLAP], *(SAMPLES[k] for k in KINDS if k in kinds), last[-OVERLAP:]])
+    return text or None
+
+
+def both_ends(raw: bytes) -> tuple[str, bool]:
+    """What packed bytes hold, and whether it is whole. Of more than 2 * END characters both ends, with a character between
+    them that joins a find which goes on from one to the other."""
+    first, last, total, tails = "", "", 0, [0] * len(RUNS)
+    for part in windows(unpacked(raw)):
+        new = part if not total else part[min(OVERLAP, total) :]
+        first += new[: max(0, END * 2 - len(first))]
+        last = (last + new)[-END:]
+        for k, (run, _) in enumerate(RUNS):
+            n = len(new) - len(new.rstrip(run))
+            tails[k] = tails[k] + n if n == len(new) else n
+        total += len(new)
+    if total <= END * 2:
+        return first, True
+    between = next((c for (_, c), n in zip(RUNS, tails, strict=True) if n >= total - END), "\n")
+    return first[:END] + between + last, False
 
 
 def from_url(run: str) -> list[tuple[str, int, int]]:
@@ -205,41 +237,50 @@ def from_unicode(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def from_base64(run: str) -> list[tuple[str, int, int]] | None:
-    """As from_url, or None if it isn't wrapped text. The run may go over several lines."""
-    places = [i for i, c in enumerate(run) if c not in "\r\n="] if "\n" in run else None
-    body = run.rstrip("=") if places is None else "".join(run[i] for i in places)
+def from_base64(run: str) -> Decoded | None:
+    """The run's characters, or None if it isn't wrapped text. The run may go over several lines."""
+    places = np.array([i for i, c in enumerate(run) if c not in "\r\n="], np.int64) if "\n" in run else None
+    body = run.rstrip("=") if places is None else run.replace("\r", "").replace("\n", "").replace("=", "")
     if len(body) % 4 == 1:
         return None
     try:
         raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
     except ValueError:
         return None
-    text = readable(raw)
+    if is_packed(raw):
+        text, whole = both_ends(raw)
+        return Decoded(text, np.zeros(len(text), np.int64), np.full(len(text), len(run)), None if whole else raw) if text else None
+    text = plain(raw)
     if text is None:
         return None
-    if opener(raw) is not None and text.encode("utf-8", "surrogateescape") != raw or len(text) > WINDOW or len(raw) > WINDOW:
-        return [(c, 0, len(run)) for c in text]
-    out, at = [], 0
-    for c in text:  # three bytes come from four characters
-        n = width(c)
-        i, j = at // 3 * 4 + at % 3, min(len(body), (at + n - 1) // 3 * 4 + (at + n - 1) % 3 + 2)
-        out.append((c, i, j) if places is None else (c, places[i], places[j - 1] + 1))
-        at += n
-    return out
+    # Three bytes come from four characters.
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+    at = np.cumsum(n) - n
+    upto = at + n - 1
+    starts, ends = at // 3 * 4 + at % 3, np.minimum(len(body), upto // 3 * 4 + upto % 3 + 2)
+    return Decoded(text, starts, ends) if places is None else Decoded(text, places[starts], places[ends - 1] + 1)
+
+
+def of_units(decode: Callable[[str], list[tuple[str, int, int]]]) -> Callable[[str], Decoded]:
+    def run(run: str) -> Decoded:
+        chars, starts, ends = zip(*decode(run), strict=True)
+        return Decoded("".join(chars), np.array(starts), np.array(ends))
+
+    return run
 
 
-WRAPS: tuple[tuple[str, re.Pattern, Callable], ...] = (("%", URL, from_url), ("\\", UNICODE, from_unicode), ("", BASE64, from_base64), ("\n", FOLDED, from_base64))
+WRAPS: tuple[tuple[str, re.Pattern, Callable], ...] = (("%", URL, of_units(from_url)), ("\\", UNICODE, of_units(from_unicode)), ("", BASE64, from_base64), ("\n", FOLDED, from_base64))
 
 
-def unwrapped(text: str, pattern: re.Pattern, decode: Callable) -> tuple[str, list[tuple[int, int, list]]] | None:
+def unwrapped(text: str, pattern: re.Pattern, decode: Callable[[str], Decoded | None]) -> tuple[str, list[tuple[int, int, Decoded]]] | None:
     """The text with all runs of one wrap decoded, and the runs; None if there are none."""
-    found = [(m.start(), m.end(), d) for m in pattern.finditer(text) if (d := decode(m[0])) and "".join(c for c, _, _ in d) != m[0]]
+    found = [(m.start(), m.end(), d) for m in pattern.finditer(text) if (d := decode(m[0])) and d.text != m[0]]
     if not found:
         return None
     out, at = [], 0
     for i, j, d in found:
-        out += [text[at:i], "".join(c for c, _, _ in d)]
+        out += [text[at:i], d.text]
         at = j
     return "".join(out) + text[at:], found
 
@@ -250,10 +291,23 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     base = scan(text)
     spans = set(base)
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
+    Layer = tuple[str, np.ndarray | None, np.ndarray | None]
     seen = set()
+
+    def inside(raw: bytes, start: int, end: int) -> Iterator[Layer]:
+        """Layers of a packed run, as far as they can give finds that aren't there yet."""
+        for part in windows(unpacked(raw)):
+            if all((k, start, end) in spans for k in KINDS):
+                return
+            spans.update((k, start, end) for k, _, _ in scan(part))
+            yield part, np.broadcast_to(start, len(part)), np.broadcast_to(end, len(part))
+
+    work: list[Iterator[Layer]] = [iter([(text, None, None)])]
     while work:
-        layer, lo, hi = work.pop()
+        layer, lo, hi = next(work[-1], (None, None, None))
+        if layer is None:
+            work.pop()
+            continue
         for sign, pattern, decode in WRAPS:
             if sign not in layer or not (new := unwrapped(layer, pattern, decode)):
                 continue
@@ -261,16 +315,22 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
                 lo, hi = np.arange(len(text)), np.arange(1, len(text) + 1)
             starts, ends, at = [], [], 0
             for i, j, d in new[1]:
-                starts += [lo[at:i], lo[i + np.array([p for _, p, _ in d])]]
-                ends += [hi[at:i], hi[i + np.array([q for _, _, q in d]) - 1]]
+                starts += [lo[at:i], lo[i + d.starts]]
+                ends += [hi[at:i], hi[i + d.ends - 1]]
                 at = j
+                if d.raw is not None:
+                    place = int(lo[i]), int(hi[j - 1])
+                    mark = hashlib.blake2b(d.raw + repr(place).encode(), digest_size=16).digest()
+                    if mark not in seen:
+                        seen.add(mark)
+                        work.append(inside(d.raw, *place))
             nlo, nhi = np.concatenate([*starts, lo[at:]]), np.concatenate([*ends, hi[at:]])
             mark = hashlib.blake2b(new[0].encode("utf-8", "surrogatepass") + nlo.tobytes(), digest_size=16).digest()
             if mark in seen:
                 continue
             seen.add(mark)
             spans.update((k, int(nlo[i]), int(nhi[j - 1])) for k, i, j in scan(new[0]))
-            work.append((new[0], nlo, nhi))
+            work.append(iter([(new[0], nlo, nhi)]))
     return ordered(base), ordered(spans)
 
 
