@@ -618,6 +618,14 @@ def test_what_unpacks_to_much_is_scanned():
     assert [s for s in secrets.all_spans(f"see {plain} end")[1] if (s[1], s[2]) == (4, 4 + len(plain))] == []
 
 
+def test_a_long_row_of_anchors_is_no_stack(spark):
+    text = "The word " + "the of " * 50_000 + "first second third"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    signs = df.where("doc_id = 1").select(spotsigs.all_signatures(F.col("text")), F.array_sort(F.array(*(spotsigs.number(F.lit(x)) for x in ("the word first", "of first second"))))).first()
+    assert signs[0] == signs[1]
+    assert spotsigs.edited_likeness(df).count() == 2
+
+
 @pytest.mark.parametrize("pad", [10, 5_000, 60_000, 1 << 20, 3 << 20])
 def test_secrets_are_found_alike_in_packed_and_plain_layers_of_any_size(pad):
     """The size decides nothing: places are exact in what is only decoded, and packed text has the finds of a short one."""

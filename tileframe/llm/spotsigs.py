@@ -37,7 +37,8 @@ def signatures(text: Column) -> Column:
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     words = "|".join(sorted(dict.fromkeys(ANCHORS), key=lambda w: (-len(w), w)))
     marked = F.regexp_replace(plain, f" ({words})(?= )", r"|$1")
-    chains = F.regexp_extract_all(marked, F.lit(r"\|(?=([^| ]+ [^| ]+(?:\|[^| ]+)* [^| ]+))"), F.lit(1))
+    # Possessive, or a long row of anchors takes a stack as deep.
+    chains = F.regexp_extract_all(marked, F.lit(r"\|(?=([^| ]+ [^| ]+(?:\|[^| ]+)*+ [^| ]+))"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(chains, lambda c: number(F.regexp_replace(c, r"\|[^| ]+", "")))))
 
 
